@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -11,7 +13,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 HOT_KEYS = 1024
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package known to the Python workers, wherever the driver found it."""
+    sc, name = spark.sparkContext, "termweave_workers.zip"
+    if any(str(x).endswith(name) for x in getattr(sc, "_python_includes", [])):
+        return
+    top = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="termweave-")) / name
+    with zipfile.ZipFile(target, "w") as z:
+        for file in sorted(top.rglob("*.py")):
+            z.write(file, file.relative_to(top.parent))
+    sc.addPyFile(str(target))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

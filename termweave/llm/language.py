@@ -154,8 +154,8 @@ def identify(docs: DataFrame, learn: Column) -> DataFrame:
     return predict(docs.select("doc_id", "text"), prototypes)
 
 
-def identified_documents(docs: DataFrame, least: float = 0.05) -> DataFrame:
-    """The documents of docs, whole, whose language is known: a letter at least, and a cosine of `least` with a prototype.
+def identified_documents(docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """The documents of docs, whole, whose language is known: a letter at least, and a cosine above `least` with a prototype.
 
     Learns from every row that has a language. Where no row has one, nothing can be learned and nothing is rejected
     for its score; texts without letters still go.
@@ -168,7 +168,7 @@ def identified_documents(docs: DataFrame, least: float = 0.05) -> DataFrame:
     def run(batches):
         for batch, langs, scores in classify(batches, at, names, matrix, SEED):
             if names:
-                keep = [a != UNKNOWN and s >= least for a, s in zip(langs, scores, strict=True)]
+                keep = [a != UNKNOWN and s > least for a, s in zip(langs, scores, strict=True)]
             else:
                 keep = [bool(x) and any(map(str.isalpha, x)) for x in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
