@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, mixing, packing, simhash, suffixes
+from . import language, media, mixing, packing, simhash, suffixes
 from ._shared import table
 
 
@@ -14,6 +14,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.described(media.stored(table(spark, sf_dir, "documents")))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -40,6 +44,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_media": op1_media,
     "op3_mixing": op3_mixing,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
