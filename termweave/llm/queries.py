@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, media, mixing, packing, simhash, suffixes
+from . import language, media, mixing, packing, quality, simhash, suffixes
 from ._shared import table
 
 
@@ -18,6 +18,12 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.described(media.stored(table(spark, sf_dir, "documents")))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    space = quality.fit(docs, labels.where(~quality.held_out(F.col("doc_id"))))
+    return quality.score(docs, space).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -45,6 +51,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_media": op1_media,
+    "op2_quality": op2_quality,
     "op3_mixing": op3_mixing,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
