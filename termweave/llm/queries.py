@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, media, mixing, packing, quality, simhash, suffixes
+from . import language, media, mixing, packing, quality, simhash, suffixes, warc
 from ._shared import table
 
 
@@ -28,6 +28,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    back = warc.archived(pages)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(pages.schema["page_id"].dataType).alias("refers_to"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -53,6 +59,7 @@ QUERIES = {
     "op1_media": op1_media,
     "op2_quality": op2_quality,
     "op3_mixing": op3_mixing,
+    "op4_warc": op4_warc,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op7_suffixes": op7_suffixes,
@@ -96,4 +103,16 @@ SELECT doc_id, size, source_size, target,
 FROM laps
 """
 
-ORACLES = {"op3_mixing": MIXING_SQL}
+WARC_SQL = """
+WITH digests AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), firsts AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM digests
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first_id IS NULL OR page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM firsts
+"""
+
+ORACLES = {"op4_warc": WARC_SQL, "op3_mixing": MIXING_SQL}
