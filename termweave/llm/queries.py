@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, media, mixing, packing, quality, simhash, suffixes, warc
+from . import language, media, mixing, neighbours, packing, quality, simhash, suffixes, warc
 from ._shared import table
 
 
@@ -55,6 +55,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 QUERIES = {
     "op1_media": op1_media,
     "op2_quality": op2_quality,
@@ -64,6 +68,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_suffixes": op7_suffixes,
     "op9_language": op9_language,
+    "op10_neighbours": op10_neighbours,
 }
 
 MIXING_SQL = r"""
