@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, media, mixing, neighbours, packing, quality, simhash, suffixes, warc
+from . import language, media, mixing, neighbours, packing, pagetext, quality, simhash, suffixes, warc
 from ._shared import table
 
 
@@ -49,6 +49,10 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_pagetext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.learnable(F.col("doc_id")))
@@ -67,6 +71,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op7_suffixes": op7_suffixes,
+    "op8_pagetext": op8_pagetext,
     "op9_language": op9_language,
     "op10_neighbours": op10_neighbours,
 }
