@@ -9,10 +9,13 @@ to the next pass:
    at the same place in them, and about one block in 69 positions is dealt to its group. Blocks alone in their group
    end here: none of their windows comes twice.
 2. The second digit is all bytes of a block's windows. If these come twice, all its windows do.
-3. Of the others in a group of several - the edges of repeated passages - the windows themselves are ordered, byte
-   offset by byte offset.
+3. Of the others in a group of several - the edges of repeated passages - the third digit is the bytes before or the
+   bytes after the block, one of which lies whole in every window; with these equal, the windows themselves are
+   ordered, byte offset by byte offset.
 
-Digits are compared by two hashes, of 61 bits and of 64; a group is dealt by its first. The text moves twice to the
+A block that a task has HOT times is dealt by both digits, so that a passage that every document has spreads over all
+tasks; one witness goes where the block's other rows go, so that they count as repeated. At worst a block is then an
+edge that might have been whole, which the third digit settles. Digits are compared by hashes of 64 bits, windows by two. The text moves twice to the
 same partitions, once for the edges and once to be cut, by one and the same exchange.
 
 Defined results: null is an empty text; texts shorter than a window keep all bytes; in equal texts of a window or
@@ -114,6 +117,10 @@ def byte_rows(column: pa.Array) -> Iterator[np.ndarray]:
         yield data[at[k] : at[k + 1]] if valid[k] else data[:0]
 
 
+#: A block that comes so often among the rows a task sends at once is dealt by its second digit as well.
+HOT = 64
+_HOT_BIT, _WITNESS = 1 << 31, (1 << 31) - 1
+
 # What becomes of a block: all its windows repeat; some may; all repeat, and it shows those who may what to look for.
 WHOLE, EDGE, SHOWN = 0, 1, 2
 #: So many rows of one block wait for the end of their group; beyond, the group counts as one with edges.
@@ -132,7 +139,13 @@ def _blocks(length: int, block: int):
                     found.append((h1.view(np.int64), h2.view(np.int64), np.full(len(at), k1[k]), (k2[k] << 32) + at))
                     n += len(at)
                 if n > 200_000 or (k == batch.num_rows - 1 and n):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["h1", "h2", "k1", "kp"])
+                    h1, h2, keys, places = (np.concatenate(x) for x in zip(*found, strict=True))
+                    values, which, counts = np.unique(h1, return_inverse=True, return_counts=True)
+                    places = np.where(counts[which] >= HOT, places | _HOT_BIT, places)
+                    hot = values[counts >= HOT]
+                    none = np.zeros(len(hot), np.int64)
+                    columns = [np.concatenate(x) for x in ((h1, hot), (h2, none), (keys, none), (places, none + _WITNESS))]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h1", "h2", "k1", "kp"])
                     found, n = [], 0
 
     return run
@@ -146,6 +159,8 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(final: bool) -> Iterator[pa.RecordBatch]:
         nonlocal held, before
         h1, h2, k1, kp = held
+        place = kp & 0xFFFFFFFF
+        told = (place == _WITNESS) | (place >= _HOT_BIT)
         same1 = np.concatenate([[before[0]], h1[1:] == h1[:-1], [False]])
         same2 = np.concatenate([[before[1]], (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1]), [False]])
         group = np.cumsum(~same1[:-1])
@@ -157,8 +172,9 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 end = len(h1) - 1
         if not end:
             return
-        repeated, whole = same1[:-1] | same1[1:], same2[:-1] | same2[1:]
-        has_edges = np.bincount(group, repeated & ~whole) > 0
+        known = np.bincount(group, told) > 0  # other rows of the block are elsewhere
+        repeated, whole = same1[:-1] | same1[1:] | known[group], (same2[:-1] | same2[1:]) & (place != _WITNESS)
+        has_edges = known | (np.bincount(group, repeated & ~whole) > 0)
         if before[2]:
             has_edges[group[0]] = True
         forced = end < len(h1) and group[end] == group[end - 1]
@@ -166,11 +182,11 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             has_edges[group[end]] = True
         first = whole & ~same2[:-1] & has_edges[group]
         kind = np.where(whole, np.where(first, SHOWN, WHOLE), EDGE)[:end]
-        go = np.flatnonzero(repeated[:end])
+        go = np.flatnonzero(repeated[:end] & (place[:end] != _WITNESS))
         before = (bool(forced), bool(forced and same2[end]), bool(forced))
         held = [x[end:] for x in held]
         if len(go):
-            yield pa.RecordBatch.from_arrays([pa.array(k1[go]), pa.array(kp[go] >> 32), pa.array(((kp[go] & 0xFFFFFFFF) << 2) + kind[go])], ["k1", "k2", "mark"])
+            yield pa.RecordBatch.from_arrays([pa.array(k1[go]), pa.array(kp[go] >> 32), pa.array(((place[go] & _WITNESS) << 2) + kind[go])], ["k1", "k2", "mark"])
 
     for batch in batches:
         held = [np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(held)]
@@ -181,25 +197,37 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _edges(length: int, block: int):
-    """Texts with marks -> the bytes around each edge, and around the blocks shown to edges."""
+    """Texts with marks -> the bytes around each edge, and around the blocks shown to edges: once for the windows that
+    hold the `half` bytes before the block, once for those that hold as many after it."""
     reach = length - block
+    half = (reach + 1) // 2
+    after = reach - half + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "k1", "k2", "at", "left", "around", "edge"]
+        def out(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict(dict(zip(EDGE_SCHEMA.names, map(list, zip(*found, strict=True)), strict=True)), EDGE_SCHEMA)
+
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             found: list[tuple] = []
             columns = {n: batch.column(f"__{n}") for n in ("k1", "k2", "marks")}
-            for k, data in enumerate(byte_rows(batch.column("text"))):
+            for k, row in enumerate(byte_rows(batch.column("text"))):
                 marks = np.unique(np.asarray(columns["marks"][k].values))
+                data, k1, k2 = row.tobytes(), columns["k1"][k].as_py(), columns["k2"][k].as_py()
                 for mark in marks[marks & 3 != WHOLE].tolist():
                     at = mark >> 2
-                    low = max(0, at - reach)
-                    found.append((xxhash.xxh3_64_intdigest(data[at : at + block].tobytes()) - (1 << 63), columns["k1"][k].as_py(), columns["k2"][k].as_py(), at, at - low, data[low : at + length].tobytes(), mark & 3 == EDGE))
+                    edge, end = mark & 3 == EDGE, at + block + after
+                    if at >= half:
+                        low = max(0, at - reach)
+                        found.append((digest(data[at - half : at + block], 1) - (1 << 63), k1, k2, at, at - low, data[low : at + length - half], edge))
+                    if end <= len(data):
+                        low = max(0, at - half + 1)
+                        found.append((digest(data[at:end], 2) - (1 << 63), k1, k2, at, at - low, data[low : at + length], edge))
                 if len(found) >= 20_000:
-                    yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*found, strict=True)), strict=True)), EDGE_SCHEMA)
+                    yield out(found)
                     found = []
             if found:
-                yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*found, strict=True)), strict=True)), EDGE_SCHEMA)
+                yield out(found)
 
     return run
 
@@ -290,7 +318,8 @@ def _joined(docs: DataFrame, length: int, block: int) -> DataFrame:
     text, doc_id = F.coalesce("text", F.lit("")), F.col("doc_id")
     keyed = docs.withColumn("__k1", F.xxhash64(doc_id, text)).withColumn("__k2", F.hash(text, F.lit(length)).cast("long"))  # 96 bits for a row; rows alike in both are alike
     blocks = keyed.select(text.alias("text"), F.col("__k1").alias("k1"), F.col("__k2").alias("k2")).mapInArrow(_blocks(length, block), "h1 long, h2 long, k1 long, kp long")
-    marks = blocks.repartition("h1").sortWithinPartitions("h1", "h2").mapInArrow(_survivors, "k1 long, k2 long, mark long")
+    hot = F.shiftrightunsigned("kp", 31).bitwiseAND(F.lit(1)) == 1
+    marks = blocks.repartition(F.when(hot, F.xxhash64("h1", "h2")).otherwise(F.col("h1"))).sortWithinPartitions("h1", "h2").mapInArrow(_survivors, "k1 long, k2 long, mark long")
     marks = _shared.spilled(marks.groupBy("k1", "k2").agg(F.collect_set("mark").alias("marks")), "marks")
     texts = keyed.repartition("__k1", "__k2")
     marks = marks.select(F.col("k1").alias("__m1"), F.col("k2").alias("__m2"), F.col("marks").alias("__marks"))
