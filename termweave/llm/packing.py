@@ -28,7 +28,7 @@ CAPACITY = 2048
 END_ID = 1
 #: Pieces that wait before windows are filled from them, and words whose ids a worker remembers.
 WAITING = 4096
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 _words: dict[str, Words] = {}
 
 

@@ -38,7 +38,7 @@ from . import _shared
 LENGTH = 200
 BLOCK = 64
 #: Edges ordered at once: whole groups are taken until there are so many.
-EDGES = 1 << 15
+EDGES = 1 << 13
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
