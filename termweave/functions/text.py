@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 from ..config import MAX_VARIANTS, PROPERTY_PREFIXES, STEM_SUFFIXES, STOP_WORDS, SYNONYMS, TYPE_NAMES
@@ -31,15 +29,13 @@ def tokens(normalized: Column) -> Column:
     return F.filter(F.split(normalized, " "), lambda t: t != "")
 
 
+#: The list's order is that of length wherever one suffix ends with another, so the longest that leaves three letters is the first.
+_STEM = "^(.{3,}?)(?:" + "|".join(STEM_SUFFIXES) + ")$"
+
+
 def stem(token: Column) -> Column:
-    """A normalized token without the first suffix, in the fixed order, that leaves three letters or more."""
-    out = None
-    for suffix in STEM_SUFFIXES:
-        fits = F.endswith(token, F.lit(suffix)) & (F.length(token) > len(suffix) + 2)
-        cut = F.left(token, F.length(token) - len(suffix))
-        cut = F.concat(cut, F.lit("y")) if suffix == "ies" else cut
-        out = F.when(fits, cut) if out is None else out.when(fits, cut)
-    return out.otherwise(token)
+    """A normalized token without the first suffix, in the fixed order, that leaves three letters or more; ies becomes y."""
+    return F.when(F.rlike(token, F.lit("^.{3,}ies$")), F.regexp_replace(token, "ies$", "y")).otherwise(F.regexp_replace(token, _STEM, "$1"))
 
 
 def stems(normalized: Column) -> Column:
@@ -70,16 +66,22 @@ def lower_camel(normalized: Column) -> Column:
 
 def without_prefixes(normalized: Column) -> Column:
     """Array: the text, and what is left of it after each prefix that it begins with."""
-    cut = [F.when(F.startswith(normalized, F.lit(p)), F.trim(F.substr(normalized, F.lit(len(p) + 1)))) for p in PROPERTY_PREFIXES]
-    return F.filter(F.array(normalized, *cut), lambda x: x.isNotNull() & (x != ""))
+    fitting = F.filter(_words(PROPERTY_PREFIXES), lambda p: F.startswith(normalized, p))
+    cut = F.transform(fitting, lambda p: F.trim(F.substr(normalized, F.length(p) + 1)))
+    return F.filter(F.concat(F.array(normalized), cut), lambda x: x != "")
+
+
+def _words(values) -> Column:
+    """An array of literals, in one call."""
+    return F.expr(f"array({', '.join(repr(v) for v in values)})")
 
 
 def with_synonyms(variants: Column) -> Column:
     """Array: the variants, then the synonyms of each and of its words; one pass."""
-    pairs = reduce(lambda a, kv: [*a, F.lit(kv[0]), F.array(*map(F.lit, kv[1]))], SYNONYMS.items(), [])
-    known = F.create_map(*pairs)
+    entries = (f"{k!r}, array({', '.join(map(repr, v))})" for k, v in SYNONYMS.items())
+    known, none = F.expr(f"map({', '.join(entries)})"), F.expr("cast(array() as array<string>)")
     keys = F.flatten(F.transform(variants, lambda v: F.concat(F.array(v), tokens(v))))
-    found = F.flatten(F.transform(keys, lambda k: F.coalesce(F.try_element_at(known, k), F.array().cast("array<string>"))))
+    found = F.flatten(F.transform(keys, lambda k: F.coalesce(F.try_element_at(known, k), none)))
     return F.array_distinct(F.concat(variants, found))
 
 
@@ -89,7 +91,7 @@ def variants(label: Column) -> Column:
     words = tokens(whole)
     long = F.filter(words, lambda t: F.length(t) > 2)
     stemmed = F.transform(long, stem)
-    content = F.filter(words, lambda t: ~t.isin(*STOP_WORDS))
+    content = F.filter(words, lambda t: ~F.array_contains(_words(STOP_WORDS), t))
     parts = F.concat(F.array(whole), without_prefixes(whole), long, stemmed, F.array(F.array_join(stemmed, " ")), F.array(F.array_join(content, " ")), content)
     own = F.array_distinct(F.filter(parts, lambda x: x != ""))
     return F.slice(with_synonyms(own), 1, MAX_VARIANTS)

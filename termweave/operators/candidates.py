@@ -37,36 +37,39 @@ def _place(source: int, seq: Column, tie: Column, n: Column) -> Column:
 # ---- scores -----------------------------------------------------------------------------------------------------
 
 
-def _by_kind(type_: Column, kind: Column, table: dict[str, list[tuple]], otherwise: float) -> Column:
-    """First match of (reference type, kinds of URI) -> number."""
-    out = None
-    for name, cases in table.items():
-        for kinds, value in cases:
-            when = (type_ == name) & kind.isin(*kinds)
-            out = F.when(when, value) if out is None else out.when(when, value)
-    return out.otherwise(otherwise)
+def _by_kind(table: dict[str, dict[str, float]]) -> Column:
+    """(entity_type, __kind) -> number, 0 if the table has none. One expression, parsed at once."""
+    cases = [f"WHEN entity_type = '{t}' AND __kind = '{k}' THEN {v}D" for t, kinds in table.items() for k, v in kinds.items()]
+    return F.expr(f"CASE {' '.join(cases)} ELSE 0D END")
 
 
-_CLASS, _PROPERTY, _RESOURCE = ("class",), U.PROPERTY_KINDS, ("resource",)
+def _both(p: float) -> dict[str, float]:
+    return dict.fromkeys(U.PROPERTY_KINDS, p)
 
 
-def type_bonus(type_: Column, kind: Column) -> Column:
-    return _by_kind(type_, kind, {
-        "class": [(_CLASS, 0.25), (_RESOURCE, -0.03), (_PROPERTY, -0.18)],
-        "property": [(_PROPERTY, 0.25), (_CLASS, -0.20), (_RESOURCE, -0.10)],
-        "individual": [(_RESOURCE, 0.25), (_CLASS, -0.02), (_PROPERTY, -0.18)],
-    }, 0.0)
+def type_bonus() -> Column:
+    return _by_kind({
+        "class": {"class": 0.25, "resource": -0.03} | _both(-0.18),
+        "property": _both(0.25) | {"class": -0.20, "resource": -0.10},
+        "individual": {"resource": 0.25, "class": -0.02} | _both(-0.18),
+    })
 
 
-def source_weight(type_: Column, kind: Column, base: Column) -> Column:
-    moved = _by_kind(type_, kind, {
-        "class": [(_CLASS, 0.15), (_RESOURCE, -0.08), (_PROPERTY, -0.15)],
-        "property": [(_PROPERTY, 0.15), (_CLASS, -0.15), (_RESOURCE, -0.10)],
-        "individual": [(_RESOURCE, 0.15), (_PROPERTY, -0.15)],
-    }, 0.0)
+def source_weight(base: Column) -> Column:
+    moved = _by_kind({
+        "class": {"class": 0.15, "resource": -0.08} | _both(-0.15),
+        "property": _both(0.15) | {"class": -0.15, "resource": -0.10},
+        "individual": {"resource": 0.15} | _both(-0.15),
+    })
     return clamp(base + moved, 0.0, 1.30)
 
 
+def construction_bonus() -> Column:
+    """For URIs that only construction found, of the kind that the term asks for."""
+    fits = _by_kind({"class": {"class": 0.15}, "property": _both(0.15), "individual": {"resource": 0.15}})
+    return F.when(F.col("strategies") == F.array(F.lit(CONSTRUCTION)), fits).otherwise(0.0)
+
+
 def scored(found: DataFrame) -> DataFrame:
     """Term columns, candidate_uri, candidate_label, strategy and source arrays, matched, weight -> a candidate.
 
@@ -76,12 +79,10 @@ def scored(found: DataFrame) -> DataFrame:
     texts = found.withColumn("__label", normalize_text(F.col("candidate_label"))).withColumn("candidate_uri_token", U.last_token(uri))
     texts = texts.withColumn("__token", normalize_text(F.col("candidate_uri_token")))
     texts = texts.withColumn("__kind", U.kind(uri))
-    kind = F.col("__kind")
-    fits = ((type_ == "class") & kind.isin(*_CLASS)) | ((type_ == "property") & kind.isin(*_PROPERTY)) | ((type_ == "individual") & kind.isin(*_RESOURCE))
-    built = F.when((F.col("strategies") == F.array(F.lit(CONSTRUCTION))) & fits, 0.15).otherwise(0.0)
-    weighed = texts.withColumn("__weight", source_weight(type_, kind, F.col("weight")))
-    lexical = sim.initial(F.col("normalized_label"), F.col("__label"), F.col("__token"))
-    score = clamp(0.64 * lexical + 0.18 * F.col("__weight") + type_bonus(type_, kind) + built)
+    texts, (reference, label, token) = sim.with_forms(texts, "normalized_label", "__label", "__token")
+    weighed = texts.withColumn("__weight", source_weight(F.col("weight")))
+    weighed = weighed.withColumn("__lexical", sim.initial(reference, label, token))
+    score = clamp(0.64 * F.col("__lexical") + 0.18 * F.col("__weight") + type_bonus() + construction_bonus())
     return weighed.select(
         F.col("entity_id").alias("reference_entity_id"),
         type_.alias("reference_entity_type"),
@@ -101,10 +102,10 @@ def scored(found: DataFrame) -> DataFrame:
     )
 
 
-# ---- sources ----------------------------------------------------------------------------------------------------
+# ---- sources: what they find is not scored yet ----------------------------------------------------------------------------------------------------
 
 
-def constructed(terms: DataFrame) -> DataFrame:
+def find_constructed(terms: DataFrame) -> DataFrame:
     """URIs built from the variants; of a term's equal URIs the first counts. No join."""
     v = F.col("variant")
 
@@ -112,11 +113,10 @@ def constructed(terms: DataFrame) -> DataFrame:
         return F.struct(uri.alias("candidate_uri"), label.alias("candidate_label"), F.lit(weight).alias("weight"), F.lit(source).alias("source"))
 
     n = normalize_text(v)
-    controlled = reduce(
-        lambda out, kv: F.when(v == kv[0], F.array(*[spec(F.lit(base + name), F.lit(name), w, CONTROLLED_SOURCE) for base, name, w in kv[1]])).otherwise(out),
-        CONTROLLED_CANDIDATES.items(),
-        F.array().cast("array<struct<candidate_uri:string,candidate_label:string,weight:double,source:string>>"),
-    )
+    one = lambda base, name, w: f"named_struct('candidate_uri', '{base}{name}', 'candidate_label', '{name}', 'weight', {w}D, 'source', '{CONTROLLED_SOURCE}')"
+    cases = (f"WHEN '{term}' THEN array({', '.join(one(*x) for x in found)})" for term, found in CONTROLLED_CANDIDATES.items())
+    none = "cast(array() as array<struct<candidate_uri:string,candidate_label:string,weight:double,source:string>>)"
+    controlled = F.expr(f"CASE variant {' '.join(cases)} ELSE {none} END")
     of_property = F.array(
         spec(U.ontology_property_uri(v), lower_camel(n), 1.12, "dbpedia_ontology_property_construction"),
         spec(U.raw_property_uri(v), v, 1.04, "dbpedia_property_construction"),
@@ -129,7 +129,7 @@ def constructed(terms: DataFrame) -> DataFrame:
     rows = term_variants(terms).select(*TERM, "variant_at", "variant", F.posexplode(specs).alias("spec_at", "spec")).select("*", "spec.*").where("candidate_uri <> ''")
     rows = rows.withColumn("place", _place(0, F.col("position"), F.lit(""), F.col("variant_at") * 100 + F.col("spec_at")))
     first = rows.groupBy("entity_id", "candidate_uri").agg(F.min_by(F.struct(*[c for c in rows.columns if c not in ("entity_id", "candidate_uri")]), "place").alias("r")).select("entity_id", "candidate_uri", "r.*")
-    return scored(first.select(*TERM, "candidate_uri", "candidate_label", F.array(F.lit(CONSTRUCTION)).alias("strategies"), F.array("source").alias("evidence_sources"), F.col("variant").alias("matched"), "weight", "place"))
+    return first.select(*TERM, "candidate_uri", "candidate_label", F.array(F.lit(CONSTRUCTION)).alias("strategies"), F.array("source").alias("evidence_sources"), F.col("variant").alias("matched"), "weight", "place")
 
 
 def _row_limited(rows: DataFrame, limit: int | None) -> DataFrame:
@@ -140,7 +140,7 @@ def _row_limited(rows: DataFrame, limit: int | None) -> DataFrame:
     return rows.join(F.broadcast(last), F.col("seq") <= F.coalesce("__end", F.col("seq"))).drop("__end")  # one row
 
 
-def from_labels(terms: DataFrame, labels: DataFrame, cap: int = SOURCE_CAP, limit: int | None = None) -> DataFrame:
+def find_in_labels(terms: DataFrame, labels: DataFrame, cap: int = SOURCE_CAP, limit: int | None = None) -> DataFrame:
     """Labels, or last tokens of resources, that equal a variant: both keys exploded, then one equi-join."""
     rows = labels.select("seq", strip(F.coalesce("resource", F.lit(""))).alias("candidate_uri"), strip(F.coalesce("label", F.lit(""))).alias("candidate_label"))
     rows = rows.where("candidate_uri <> '' and candidate_label <> ''")
@@ -153,10 +153,10 @@ def from_labels(terms: DataFrame, labels: DataFrame, cap: int = SOURCE_CAP, limi
     )))
     found = found.withColumn("strategies", strategies).withColumn("place", _place(1, F.col("seq"), F.col("matched"), F.col("position")))
     found = first_up_to(_row_limited(found, limit), cap, whole=True)
-    return scored(found.select(*TERM, "candidate_uri", "candidate_label", "strategies", F.array(F.lit("dbpedia_labels")).alias("evidence_sources"), "matched", F.lit(0.90).alias("weight"), "place"))
+    return found.select(*TERM, "candidate_uri", "candidate_label", "strategies", F.array(F.lit("dbpedia_labels")).alias("evidence_sources"), "matched", F.lit(0.90).alias("weight"), "place")
 
 
-def from_types(terms: DataFrame, types: DataFrame, cap: int = SOURCE_CAP, limit: int | None = None) -> DataFrame:
+def find_in_types(terms: DataFrame, types: DataFrame, cap: int = SOURCE_CAP, limit: int | None = None) -> DataFrame:
     """Instance types whose class or resource name equals a variant: a class for class terms, the resource for individuals."""
     rows = types.select("seq", strip(F.coalesce("resource", F.lit(""))).alias("resource"), strip(F.coalesce("class", F.lit(""))).alias("class"))
     rows = rows.where("resource <> '' and class <> ''")
@@ -174,18 +174,18 @@ def from_types(terms: DataFrame, types: DataFrame, cap: int = SOURCE_CAP, limit:
     strategy = F.when(of_class, "ontology_class_token").otherwise("resource_from_instance_types")
     source = F.when(of_class, "dbpedia_instance_types_classes").otherwise("dbpedia_instance_types_resources")
     weight = F.when(of_class, 0.98).otherwise(0.95)
-    return scored(first.select(*TERM, "candidate_uri", U.last_token(F.col("candidate_uri")).alias("candidate_label"), F.array(strategy).alias("strategies"), F.array(source).alias("evidence_sources"), "matched", weight.alias("weight"), "place"))
+    return first.select(*TERM, "candidate_uri", U.last_token(F.col("candidate_uri")).alias("candidate_label"), F.array(strategy).alias("strategies"), F.array(source).alias("evidence_sources"), "matched", weight.alias("weight"), "place")
 
 
-def from_properties(terms: DataFrame, frequency: DataFrame, cap: int = SOURCE_CAP, threshold: float = PROPERTY_THRESHOLD) -> DataFrame:
+def find_in_properties(terms: DataFrame, frequency: DataFrame, cap: int = SOURCE_CAP, threshold: float = PROPERTY_THRESHOLD) -> DataFrame:
     """Properties whose name is similar to a variant. frequency: property, frequency, first (order among equals).
 
     A theta join: distinct property names meet the variants of property terms, which are few, in a nested loop. Names
     are few beside facts; the pairs grow with their number alone.
     """
     names = frequency.select("property", "frequency", "first", normalize_text(U.last_token(F.col("property"))).alias("name")).where("name <> ''")
-    wanted = term_variants(terms.where(F.col("entity_type") == "property"))
-    n, v = F.col("name"), F.col("variant")
+    names, (n,) = sim.with_forms(names, "name")
+    wanted, (v,) = sim.with_forms(term_variants(terms.where(F.col("entity_type") == "property")), "variant")
     score = F.greatest(sim.levenshtein(v, n), sim.token_jaccard(v, n), sim.stem_jaccard(v, n), sim.bigram_jaccard(v, n), sim.prefix(v, n))
     pairs = names.join(sized(wanted)).withColumn("score", score).where(F.col("score") >= threshold)
     best = pairs.groupBy("property", "frequency", "first", *TERM).agg(F.max_by("variant", F.struct("score", -F.col("variant_at"))).alias("matched"))
@@ -193,12 +193,12 @@ def from_properties(terms: DataFrame, frequency: DataFrame, cap: int = SOURCE_CA
     # at most cap rows
     order = Window.orderBy(F.desc("frequency"), "first", "position")
     best = best.withColumn("place", _place(3, F.row_number().over(order), F.lit(""), F.col("position")))
-    return scored(best.select(
+    return best.select(
         *TERM, F.col("property").alias("candidate_uri"), U.last_token(F.col("property")).alias("candidate_label"),
         F.array(F.lit("property_frequency"), F.lit("property_token")).alias("strategies"),
         F.array(F.lit("dbpedia_properties"), F.lit("dbpedia_property_frequency")).alias("evidence_sources"),
         "matched", (0.82 + frequency_bonus(F.col("frequency"))).alias("weight"), "place",
-    ))
+    )
 
 
 # ---- merge and top-k --------------------------------------------------------------------------------------------
@@ -223,10 +223,19 @@ def best_of_each(candidates: DataFrame, k: int = TOP_K) -> DataFrame:
     return candidates.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k).drop("__n")
 
 
+def find(terms: DataFrame, labels: DataFrame, types: DataFrame, frequency: DataFrame, cap: int = SOURCE_CAP) -> dict[str, DataFrame]:
+    """What each source finds, in the order of the sources."""
+    return {
+        "constructed": find_constructed(terms),
+        "labels": find_in_labels(terms, labels, cap),
+        "types": find_in_types(terms, types, cap),
+        "properties": find_in_properties(terms, frequency, cap),
+    }
+
+
 def generate(terms: DataFrame, labels: DataFrame, types: DataFrame, frequency: DataFrame, k: int = TOP_K, cap: int = SOURCE_CAP) -> DataFrame:
-    """All four sources, merged, the best k a term."""
-    found = [constructed(terms), from_labels(terms, labels, cap), from_types(terms, types, cap), from_properties(terms, frequency, cap)]
-    return best_of_each(merged(reduce(DataFrame.unionByName, found)), k)
+    """All four sources, scored in one projection, merged, the best k a term."""
+    return best_of_each(merged(scored(reduce(DataFrame.unionByName, find(terms, labels, types, frequency, cap).values()))), k)
 
 
 def packed(rows: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def lexical(rows: DataFrame) -> DataFrame:
     """The thirteen similarities and matches; each text is normalized once."""
     token = F.when(F.coalesce("candidate_uri_token", F.lit("")) != "", F.col("candidate_uri_token")).otherwise(U.last_token(F.col("candidate_uri")))
     rows = rows.withColumn("__r", normalize_text(F.col("reference_label"))).withColumn("__l", normalize_text(F.col("candidate_label"))).withColumn("__t", normalize_text(token))
-    r, label, t = F.col("__r"), F.col("__l"), F.col("__t")
+    rows, (r, label, t) = sim.with_forms(rows, "__r", "__l", "__t")
     columns: dict[str, Column] = {}
     for prefix, other in (("", label), ("uri_", t)):
         columns[f"{prefix}levenshtein_similarity" if prefix else "levenshtein_label_similarity"] = round6(sim.levenshtein(r, other))
@@ -66,9 +66,9 @@ def lexical(rows: DataFrame) -> DataFrame:
         columns[f"{prefix}char_bigram_jaccard_similarity"] = round6(sim.bigram_jaccard(r, other))
         columns[f"{prefix}prefix_similarity"] = round6(sim.prefix(r, other))
     columns["containment_similarity"] = round6(F.greatest(sim.containment(r, label), sim.containment(r, t)))
-    columns["exact_label_match"] = (r == label).cast("int")
-    columns["exact_uri_token_match"] = (r == t).cast("int")
-    return rows.withColumns(columns).drop("__r", "__l", "__t")
+    columns["exact_label_match"] = (F.col("__r") == F.col("__l")).cast("int")
+    columns["exact_uri_token_match"] = (F.col("__r") == F.col("__t")).cast("int")
+    return sim.without_forms(rows.withColumns(columns), "__r", "__l", "__t").drop("__r", "__l", "__t")
 
 
 def with_property_statistics(rows: DataFrame) -> DataFrame:

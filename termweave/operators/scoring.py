@@ -36,18 +36,15 @@ def evidence(rows: DataFrame) -> DataFrame:
     return rows.withColumn("is_weak_constructed_candidate", weak.cast("int"))
 
 
-def type_policy(type_: Column, kind: Column) -> Column:
+def type_policy() -> Column:
+    """From `__type` and `__kind`."""
     table = {
         "class": {"class": 1.0, "resource": 0.35},
         "property": {"ontology_property": 1.0, "raw_property": 0.90, "resource": 0.15},
         "individual": {"resource": 1.0, "class": 0.35},
     }
-    out = None
-    for name, scores in table.items():
-        for k, value in scores.items():
-            when = (type_ == name) & (kind == k)
-            out = F.when(when, value) if out is None else out.when(when, value)
-    return out.otherwise(0.0)
+    cases = [f"WHEN __type = '{t}' AND __kind = '{k}' THEN {v}D" for t, kinds in table.items() for k, v in kinds.items()]
+    return F.expr(f"CASE {' '.join(cases)} ELSE 0D END")
 
 
 def _sum(*parts: tuple[float, Column]) -> Column:
@@ -57,7 +54,7 @@ def _sum(*parts: tuple[float, Column]) -> Column:
 def components(rows: DataFrame) -> DataFrame:
     """rows with the flags and the five component scores."""
     rows = evidence(rows).withColumns({"__type": normalize_type(F.col("reference_entity_type")), "__kind": U.kind(F.col("candidate_uri"))})
-    rows = rows.withColumn("__policy", type_policy(F.col("__type"), F.col("__kind")))
+    rows = rows.withColumn("__policy", type_policy())
     f = lambda c: to_float(F.col(c))
     controlled, weak, real = F.col("has_controlled_direct_evidence") == 1, F.col("is_weak_constructed_candidate") == 1, F.col("has_real_dbpedia_evidence") == 1
     type_ = F.col("__type")

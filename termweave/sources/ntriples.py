@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.text import strip
 
 URI = "<([^>]*)>"
+#: The relations that lines are parsed into.
+RELATIONS = ("labels", "instance_types", "literal_properties", "object_properties", "infobox_properties", "sameas_links")
 LITERAL = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
 
 
