@@ -352,5 +352,5 @@ def clip_rows(media: DataFrame) -> DataFrame:
             kinds = [pa.int32(), pa.float64(), pa.float64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["doc_id", "clip", "start_s", "end_s", "frames"])
 
-    schema = media.select("doc_id").schema.add("clip", "int").add("start_s", "double").add("end_s", "double").add("frames", "int")
+    schema = media.select("doc_id").schema.add("clip", "integer").add("start_s", "double").add("end_s", "double").add("frames", "integer")
     return media.select("doc_id", "media").mapInArrow(run, schema)

@@ -202,14 +202,14 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, text_hash, fp, component_id for every row of docs."""
+    """doc_id, text_hash, fp, root (the least fingerprint of the component) and component_id for every row of docs."""
     rows = _shared.spilled(fingerprints(docs, shingle), "simhash")
     nodes = _shared.stable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     tied = components(links(nodes.select("fp"), radius))  # u -> v, the least fingerprint of the component
     named = nodes.join(tied, nodes["fp"] == tied["u"], "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = _shared.stable(named.join(least, "root").select("fp", "component_id"))
-    return _shared.attach(rows, named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    named = _shared.stable(named.join(least, "root").select("fp", "root", "component_id"))
+    return _shared.attach(rows, named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -218,8 +218,9 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     Where several rows of a group have that id, one of them stays.
     """
     rows = groups(docs, shingle, radius).where("component_id <=> doc_id")
-    stays = _shared.stable(rows.groupBy("doc_id").agg(F.min("text_hash").alias("h"), F.count(F.lit(1)).alias("n")))
-    stays = stays.select(F.col("doc_id").alias("__id"), F.col("h").alias("__hash"), F.col("n").alias("__n"))
+    # of a group's rows with that id the one of the least text hash; equal texts are told apart below
+    stays = rows.groupBy("root", "doc_id").agg(F.min("text_hash").alias("h"), F.count(F.lit(1)).alias("n"))
+    stays = _shared.stable(stays.select(F.col("doc_id").alias("__id"), F.col("h").alias("__hash"), F.col("n").alias("__n")))
     hashed = docs.withColumn("__text", F.xxhash64("text"))
     kept = hashed.join(stays, hashed["doc_id"].eqNullSafe(stays["__id"]) & (hashed["__text"] == stays["__hash"]))
     if stays.where("__n > 1").isEmpty():
