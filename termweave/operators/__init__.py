@@ -1 +1 @@
-
+"""Indexes, candidates, features, scores, rankings."""

@@ -1 +1 @@
-
+"""Dumps, lines and tables, in and out."""

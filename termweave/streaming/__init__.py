@@ -1 +1 @@
-
+"""The reference behaviour has no streams: all inputs are finite files read to the end, so there is nothing here."""
