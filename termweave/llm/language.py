@@ -119,6 +119,12 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", dimensions: int
     return {k: v / np.sqrt(v @ v) for k, v in sorted(found.items()) if v @ v > 0}
 
 
+def _stacked(prototypes: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
+    """The languages in order, and their prototypes, a row each; no rows if nothing was learned."""
+    names = sorted(prototypes)
+    return names, np.array([prototypes[k] for k in names], np.float64) if names else np.zeros((0, DIMENSIONS))
+
+
 def classify(batches: Iterator[pa.RecordBatch], at: int, names: list[str], prototypes: np.ndarray, seed: int) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
     """Each batch, with the language and score of the text in its column `at`."""
     vectors = Vectors(prototypes.shape[1] if len(names) else DIMENSIONS, seed)
@@ -136,8 +142,7 @@ def classify(batches: Iterator[pa.RecordBatch], at: int, names: list[str], proto
 
 def predict(rows: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", seed: int = SEED) -> DataFrame:
     """rows, with lang_pred string and score double in place of the text. The prototypes are one vector a language."""
-    names = sorted(prototypes)
-    matrix = np.array([prototypes[k] for k in names], np.float64).reshape(len(names), -1)
+    names, matrix = _stacked(prototypes)
     kept = [c for c in rows.columns if c != text]
 
     def run(batches):
@@ -161,8 +166,7 @@ def identified_documents(docs: DataFrame, least: float = 0.0) -> DataFrame:
     for its score; texts without letters still go.
     """
     prototypes = fit(docs)
-    names = sorted(prototypes)
-    matrix = np.array([prototypes[k] for k in names], np.float64).reshape(len(names), -1)
+    names, matrix = _stacked(prototypes)
     at = docs.columns.index("text")
 
     def run(batches):
