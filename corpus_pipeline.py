@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from termweave.llm import _shared, language, mixing, packing, queries, simhash, suffixes
+from termweave.llm import _shared, language, mixing, nearcopies, packing, queries, suffixes
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,9 +18,9 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup (5): of each group of near copies the document with the smallest id stays."""
+    """SimHash near-dedup (5): of each group of texts whose five-word shingles are 0.8 alike the document with the smallest id stays."""
     _shared.ship(spark)
-    return simhash.representatives(docs)
+    return nearcopies.representatives(docs)
 
 
 def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

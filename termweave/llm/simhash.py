@@ -39,25 +39,32 @@ SEARCHED = 8192
 FOREST, PAIRS = 1 << 17, 1 << 22
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Bit i is set if more than half of the shingles' XXH64 have it; 0 without words. Whole text, repeats counted."""
+def shingle_hashes(text: str | None, shingle: int) -> list[int]:
+    """The XXH64 of all shingles of a whole text, in order, repeats kept; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: exactly A-Z, and the six ASCII blanks
     if not words:
-        return 0
+        return []
     if len(words) < shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        joined, ends = b" ".join(words), list(itertools.accumulate(map(len, words), lambda a, b: a + b + 1))
-        starts = [0, *[e + 1 for e in ends]]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=False)]
-    h = np.array(hashes, np.uint64)
+        return [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
+    joined, ends = b" ".join(words), list(itertools.accumulate(map(len, words), lambda a, b: a + b + 1))
+    starts = [0, *[e + 1 for e in ends]]
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=False)]
+
+
+def majority(h: np.ndarray) -> int:
+    """Bit i is set if more than half of the hashes have it."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 4096):
         ones += np.unpackbits(h[k : k + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Bit i is set if more than half of the shingles' XXH64 have it; 0 without words. Whole text, repeats counted."""
+    return majority(np.array(shingle_hashes(text, shingle), np.uint64))
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -169,6 +176,11 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """nodes: fp, distinct -> edges (u, v) of fingerprints whose components are those of all pairs within the radius."""
     masks = [signed(m) for m in blocks(nodes.count(), radius)]
     keyed = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)])).alias("k")).select("fp", F.xxhash64("k.i", "k.bits").alias("key"))
+    return shard_links(keyed, radius)
+
+
+def shard_links(keyed: DataFrame, radius: int) -> DataFrame:
+    """keyed: fp, key (its shards), distinct -> edges (u, v) whose components are those of all pairs within the radius that share a shard."""
     # the shards of one member have no pairs; those of many are searched in parts
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     many = F.ceil(F.col("n") / SEARCHED).cast("int")
@@ -217,7 +229,12 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
     Where several rows of a group have that id, one of them stays.
     """
-    rows = groups(docs, shingle, radius).where("component_id <=> doc_id")
+    return firsts(docs, groups(docs, shingle, radius))
+
+
+def firsts(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The documents of docs that stay, by groups(): doc_id, text_hash, root and component_id of every row."""
+    rows = grouped.where("component_id <=> doc_id")
     # of a group's rows with that id the one of the least text hash; equal texts are told apart below
     stays = rows.groupBy("root", "doc_id").agg(F.min("text_hash").alias("h"), F.count(F.lit(1)).alias("n"))
     stays = _shared.stable(stays.select(F.col("doc_id").alias("__id"), F.col("h").alias("__hash"), F.col("n").alias("__n")))
