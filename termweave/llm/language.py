@@ -26,6 +26,9 @@ SEED = 20240229
 BITS = 6
 SLOTS = 1 << 3 * BITS
 UNKNOWN = "und"
+#: A text of so many different trigrams is unlike every language below so many deviations of a random vector's cosine,
+#: 1 / sqrt(dimensions); in fewer trigrams clean texts score no more than noise.
+TOLD, DEVIATIONS = 50, 4.0
 _state: dict = {}
 
 
@@ -125,19 +128,21 @@ def _stacked(prototypes: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
     return names, np.array([prototypes[k] for k in names], np.float64) if names else np.zeros((0, DIMENSIONS))
 
 
-def classify(batches: Iterator[pa.RecordBatch], at: int, names: list[str], prototypes: np.ndarray, seed: int) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
-    """Each batch, with the language and score of the text in its column `at`."""
+def classify(batches: Iterator[pa.RecordBatch], at: int, names: list[str], prototypes: np.ndarray, seed: int) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray, np.ndarray]]:
+    """Each batch, with the language, score and number of different trigrams of the text in its column `at`."""
     vectors = Vectors(prototypes.shape[1] if len(names) else DIMENSIONS, seed)
     for batch in batches:
-        langs, scores = [], np.zeros(batch.num_rows)
+        langs, scores, told = [], np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
         for k, t in enumerate(batch.column(at)):
-            v = bundle(vectors, x) if names and (x := t.as_py()) else None
             langs.append(UNKNOWN)
+            slots, n = counted(trigrams(x)) if names and (x := t.as_py()) else ((), ())
+            told[k] = len(slots)
+            v = n.astype(np.float32) @ vectors.of(slots) if len(slots) else None
             if v is not None and (length := float(np.sqrt(v @ v))) > 0:
                 cosines = prototypes @ v / length
                 best = int(np.argmax(cosines))
                 langs[-1], scores[k] = names[best], min(1.0, max(0.0, float(cosines[best])))
-        yield batch, langs, scores
+        yield batch, langs, scores, told
 
 
 def predict(rows: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", seed: int = SEED) -> DataFrame:
@@ -146,7 +151,7 @@ def predict(rows: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
     kept = [c for c in rows.columns if c != text]
 
     def run(batches):
-        for batch, langs, scores in classify(batches, len(kept), names, matrix, seed):
+        for batch, langs, scores, _ in classify(batches, len(kept), names, matrix, seed):
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores)], [*kept, "lang_pred", "score"])
 
     schema = rows.select(*[F.col(f"`{c}`") for c in kept]).schema.add("lang_pred", "string").add("score", "double")
@@ -159,8 +164,9 @@ def identify(docs: DataFrame, learn: Column) -> DataFrame:
     return predict(docs.select("doc_id", "text"), prototypes)
 
 
-def identified_documents(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """The documents of docs, whole, whose language is known: a letter at least, and a cosine above `least` with a prototype.
+def identified_documents(docs: DataFrame, deviations: float = DEVIATIONS, told: int = TOLD) -> DataFrame:
+    """The documents of docs, whole, whose language is known: a letter at least, and a cosine with a prototype that is
+    above 0, and above `deviations` of noise in texts of `told` different trigrams or more.
 
     Learns from every row that has a language. Where no row has one, nothing can be learned and nothing is rejected
     for its score; texts without letters still go.
@@ -170,9 +176,10 @@ def identified_documents(docs: DataFrame, least: float = 0.0) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch, langs, scores in classify(batches, at, names, matrix, SEED):
+        for batch, langs, scores, n in classify(batches, at, names, matrix, SEED):
             if names:
-                keep = [a != UNKNOWN and s > least for a, s in zip(langs, scores, strict=True)]
+                least = np.where(n >= told, deviations / np.sqrt(matrix.shape[1]), 0.0)
+                keep = [a != UNKNOWN and ok for a, ok in zip(langs, (scores > least).tolist(), strict=True)]
             else:
                 keep = [bool(x) and any(map(str.isalpha, x)) for x in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
