@@ -4,8 +4,9 @@ The pages of a host are merged into one tree: a node is a path of block elements
 Each node has two distributions over its occurrences: the texts that stand directly in it (content), and the sequences
 of its children (presentation). Their entropies, to the base of the number of occurrences, say how much a node varies
 from page to page. A node's importance is SHARE of the greatest of its parts' - its own content, its children - and
-the rest its presentation's. Branches below LEAST (inside an article element: LEAST_INSIDE) are removed from every page; a node seen fewer than SEEN times is not
-judged. The same is done for the tree of all hosts together, which knows the templates that small hosts share.
+the rest its presentation's; the greatest is not made less by depth. Branches that are below LEAST (inside an article
+element: LEAST_INSIDE) with all their descendants are removed from every page; a node seen fewer than SEEN times is not
+judged, nor is the body. The same is done for the tree of all hosts together, which knows the templates that small hosts share.
 Elements whose markup says that they are no article - NOISE tags and classes - have no importance.
 
 The tree is made of counts, aggregated before they are shuffled, so a host of any size is one row a node; a host's
@@ -149,7 +150,7 @@ def blocks(page: str) -> Iterator[tuple[list[Node], str]]:
         stack.pop()
 
 
-CONTENT, STYLE = 0, 1  # 2 more for a node inside the article
+CONTENT, STYLE = 0, 1  # 2 more for a node inside the article, 4 more for one that holds the whole page
 
 
 def occurrences(page: str) -> Counter:
@@ -161,7 +162,7 @@ def occurrences(page: str) -> Counter:
             continue
         up = stack[-2].path if len(stack) > 1 else -1
         value = "\0".join(node.children) if text is None else text
-        found[node.path, up, (STYLE if text is None else CONTENT) + 2 * node.inside, xxhash.xxh3_64_intdigest(value.encode("utf-8", "surrogatepass")) - (1 << 63)] += 1
+        found[node.path, up, (STYLE if text is None else CONTENT) + 2 * node.inside + 4 * (node.tag in ("", "html", "body")), xxhash.xxh3_64_intdigest(value.encode("utf-8", "surrogatepass")) - (1 << 63)] += 1
     return found
 
 
@@ -179,13 +180,14 @@ def host(url: str = "url"):
 
 
 def _importance(nodes: list[tuple], share: float = SHARE, least: float = LEAST, seen: int = SEEN) -> list[int]:
-    """nodes of one tree: (path, parent, content entropy or None, style entropy or None, times seen, inside an article) -> roots of removed branches."""
+    """nodes of one tree: (path, parent, content entropy or None, style entropy or None, times seen, inside an article, holds the whole page) -> roots of removed branches."""
     below: dict[int, list[int]] = {}
     by = {}
-    for path, parent, content, style, n, inside in nodes:
-        by[path] = (content, style, n, LEAST_INSIDE if inside else least)
+    for path, parent, content, style, n, inside, top in nodes:
+        by[path] = (content, style, n, 0.0 if top else LEAST_INSIDE if inside else least)
         below.setdefault(parent, []).append(path)
-    value: dict[int, float] = {}
+    peak: dict[int, float] = {}
+    kept: dict[int, bool] = {}
     order, stack = [], [x[1] for x in nodes if x[1] not in by]
     stack = [c for p in set(stack) for c in below[p]]
     while stack:
@@ -193,12 +195,13 @@ def _importance(nodes: list[tuple], share: float = SHARE, least: float = LEAST,
         order.append(path)
         stack += below.get(path, [])
     for path in reversed(order):
-        content, style, *_ = by[path]
-        inner = max([value[c] for c in below.get(path, [])] + ([content] if content is not None else []), default=0.0)
-        value[path] = inner if style is None else (1 - share) * style + share * inner
+        content, style, _, bound = by[path]
+        peak[path] = inner = max([peak[c] for c in below.get(path, [])] + ([content] if content is not None else []), default=0.0)
+        value = inner if style is None else (1 - share) * style + share * inner
+        kept[path] = value >= bound or any(kept[c] for c in below.get(path, []))
     gone: set[int] = set()
     for path in order:  # parents first
-        if by[path][2] >= seen and value[path] < by[path][3]:
+        if by[path][2] >= seen and not kept[path]:
             gone.add(path)
     return sorted(gone)
 
@@ -235,10 +238,10 @@ def trees(pages: DataFrame, share: float = SHARE, least: float = LEAST, seen: in
         spread = F.when(m > 1, (F.log(m) - F.sum(F.col("n") * F.log("n")) / m) / F.log(m)).otherwise(F.lit(1.0))
         parts = values.groupBy(*keys, "path", "parent", "kind").agg(spread.alias("h"), m.alias("m"))
         at = lambda kind: F.max(F.when(F.col("kind") % 2 == kind, F.col("h")))
-        return parts.groupBy(*keys, "path", "parent").agg(at(CONTENT).alias("content"), at(STYLE).alias("style"), F.max("m").alias("m"), F.max(F.col("kind") >= 2).alias("inside"))
+        return parts.groupBy(*keys, "path", "parent").agg(at(CONTENT).alias("content"), at(STYLE).alias("style"), F.max("m").alias("m"), F.max(F.col("kind") % 4 >= 2).alias("inside"), F.max(F.col("kind") >= 4).alias("top"))
 
     def judge(t: pa.Table) -> pa.Table:
-        columns = [t[c].to_pylist() for c in ("path", "parent", "content", "style", "m", "inside")]
+        columns = [t[c].to_pylist() for c in ("path", "parent", "content", "style", "m", "inside", "top")]
         gone = _importance(list(zip(*columns, strict=True)), share, least, seen)
         return pa.table({"host": t["host"].slice(0, 1), "removed": pa.array([gone], pa.list_(pa.int64()))})
 
