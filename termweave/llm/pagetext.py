@@ -9,6 +9,7 @@ element: LEAST_INSIDE) with all their descendants are removed from every page; a
 judged, nor is the body. The same is done for the tree of all hosts together, which knows the templates that small hosts share.
 Elements whose markup says that they are no article - NOISE tags and classes - have no importance.
 
+Pages of one html count once in a host's tree, and once in that of all hosts: copies say nothing about a template.
 The tree is made of counts, aggregated before they are shuffled, so a host of any size is one row a node; a host's
 removed branches go to its pages by a checked broadcast, or else by a join that sends only the hot hosts' around.
 
@@ -206,33 +207,49 @@ def _importance(nodes: list[tuple], share: float = SHARE, least: float = LEAST,
     return sorted(gone)
 
 
+def shared(pages: DataFrame) -> DataFrame:
+    """host, html, copies (rows of the host with that html) and every (rows of the table), both null for a html that comes once."""
+    rows = pages.select(host().alias("host"), "html", F.xxhash64("html").alias("payload"))
+    own = rows.groupBy("payload", "host").agg(F.count(F.lit(1)).alias("copies"))
+    every = own.groupBy("payload").agg(F.sum("copies").alias("every")).where("every > 1")
+    many = _shared.stable(own.join(every, "payload").select(F.xxhash64("payload", "host").alias("key"), "copies", "every"))
+    rows = rows.select("host", "html", F.xxhash64("payload", "host").alias("key"))
+    found = rows.join(F.broadcast(many), "key", "left") if many.count() <= SENT else _shared.attach(rows, many, "key")
+    return found.select("host", "html", "copies", "every")
+
+
 def trees(pages: DataFrame, share: float = SHARE, least: float = LEAST, seen: int = SEEN) -> DataFrame:
     """host, removed (paths): the branches to remove, a row a host that has any; the host null stands for all hosts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["host", "path", "parent", "kind", "value", "n"]
+        names = ["host", "path", "parent", "kind", "value", "n", "of_all"]
         held: Counter = Counter()
+        shares: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            rows = [(h, *k, n) for (h, k), n in held.items()]
+            rows = [(h, *k, n, shares[h, k]) for (h, k), n in held.items()]
             held.clear()
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+            shares.clear()
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         for batch in batches:
-            for name, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for name, page, copies, every in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 for k, n in occurrences(page.as_py() or "").items():
-                    held[name, k] += n
+                    held[name, k] += n / (copies or 1)
+                    shares[name, k] += n / (every or 1)
                 if len(held) > 100_000:
                     yield out()
         if held:
             yield out()
 
-    rows = pages.select(host().alias("host"), "html").mapInArrow(count, "host string, path long, parent long, kind int, value long, n long")
+    rows = shared(pages).mapInArrow(count, "host string, path long, parent long, kind int, value long, n double, of_all double")
     rows = _shared.spilled(rows, "styles")
 
     def entropies(keys: list[str]) -> DataFrame:
-        values = rows.groupBy(*keys, "path", "parent", "kind", "value").agg(F.sum("n").alias("n"))
+        # the shares of a payload's copies add up to one
+        n = F.round(F.sum("n" if keys else "of_all")).cast("long")
+        values = rows.groupBy(*keys, "path", "parent", "kind", "value").agg(n.alias("n"))
         m = F.sum("n")
         # -sum p log p, to the base of the number of occurrences
         spread = F.when(m > 1, (F.log(m) - F.sum(F.col("n") * F.log("n")) / m) / F.log(m)).otherwise(F.lit(1.0))

@@ -16,3 +16,12 @@ def test_deep_wrappers(spark, depth):
     page = lambda i: f"<body><p>Our shop is great</p>{'<div class=wrap>' * depth}<article><h1>Title {i}</h1><p>Story {i} of {i * 7}</p></article>{'</div>' * depth}</body>"
     got = texts(spark, [(i, f"http://h/{i}", page(i)) for i in range(60)])
     assert got == {i: f"Title {i}\nStory {i} of {i * 7}" for i in range(60)}
+
+
+@pytest.mark.parametrize("copies", [30, 60])
+def test_copies_are_no_template(spark, copies):
+    page = lambda i: f"<body><p>Our shop is great</p><article><h1>Title {i}</h1><p>Story {i} of {i * 7}</p></article></body>"
+    of = lambda i: 0 if i < copies else i
+    got = texts(spark, [(i, f"http://h/{i}", page(of(i))) for i in range(90 if copies == 30 else 60)])
+    seen = "Our shop is great\n" if copies == 60 else ""  # one page alone tells no template
+    assert got == {i: f"{seen}Title {of(i)}\nStory {of(i)} of {of(i) * 7}" for i in got}
