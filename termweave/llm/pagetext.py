@@ -1,288 +1,343 @@
 """Main text of web pages by site style trees.
 
-The pages of a host are merged into one tree: a node is a path of block elements, told apart by tag and first class.
-Each node has two distributions over its occurrences: the texts that stand directly in it (content), and the sequences
-of its children (presentation). Their entropies, to the base of the number of occurrences, say how much a node varies
-from page to page. A node's importance is SHARE of the greatest of its parts' - its own content, its children - and
-the rest its presentation's; the greatest is not made less by depth. Branches that are below LEAST (inside an article
-element: LEAST_INSIDE) with all their descendants are removed from every page; a node seen fewer than SEEN times is not
-judged, nor is the body. The same is done for the tree of all hosts together, which knows the templates that small hosts share.
-Elements whose markup says that they are no article - NOISE tags and classes - have no importance.
+The pages of a host are merged into one tree: a node is a path of block elements, told apart by tag and first class, and
+every element of every page is counted into it. A node has two distributions over its occurrences: the texts that stand
+directly in it (content) and the sequences of its children (presentation). The entropy of either, to the base of the
+number of occurrences, says how much it varies from page to page. The importance of what stands in a node is SHARE of
+its content's and the rest of the presentation's of the element that holds it.
+
+There is a tree of all hosts as well, where the importance is the lesser of two: over all occurrences, and within hosts
+(a text that is one for each host is a template however many hosts there are). It judges where a host has seen a node
+fewer than SEEN times, and outside the article of pages that name one, where the lesser of both trees' importances
+counts. A node that neither has seen SEEN times, the body, and a headline of an article are never judged. A branch of a
+page goes if nothing in it reaches LEAST (inside an article or main element: LEAST_INSIDE; outside, on a page that has
+one: LEAST_OUTSIDE); what is below and important, or not judged, keeps it.
+
+Besides, elements go that HTML itself defines as no article (NOISE, roles, hidden ones), and reader comments, which vary
+like an article and so can't be told by a tree: elements whose class, id or itemprop has the whole word comment or
+comments. Of these a form, a dialog or a comments' element that holds the article's element or headline stays.
 
 Pages of one html count once in a host's tree, and once in that of all hosts: copies say nothing about a template.
-The tree is made of counts, aggregated before they are shuffled, so a host of any size is one row a node; a host's
-removed branches go to its pages by a checked broadcast, or else by a join that sends only the hot hosts' around.
+Trees are tables of counts, aggregated before they are shuffled; no task holds a tree. What goes is sent to the pages
+by a checked broadcast, a list a host; where it is larger, each page gets its own branches' list by a join.
 
 Defined results: null html is empty; a page without text has the empty text; a page whose url has no host belongs to
 the host of the empty name; rows that repeat a page are rows of their own. An empty table gives an empty result. Only
-page_id, url and html are looked at. Raw text of script and style ends only at its own end tag; an attribute's quotes
-may hold any character.
+page_id, url and html are looked at. Raw text of script and style ends only at its own end tag, or the page; an
+attribute's quotes may hold any character; where a tag has no end outside quotes, the rest of the page is read without
+minding quotes. Pages are read in time linear in their length, however deeply elements nest.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import _shared
 
-SHARE, LEAST, SEEN = 0.9, 0.6, 30
-#: Inside an element that says it is the article, a branch goes only below this importance.
-LEAST_INSIDE = 0.2
-#: Removed branches of all hosts are sent to all tasks up to so many (of 8 bytes).
+SHARE, LEAST, SEEN = 0.9, 0.6, 20
+#: Inside an element that says it is the article, a branch goes only below this importance; outside, it must vary almost as prose does.
+LEAST_INSIDE, LEAST_OUTSIDE = 0.2, 0.8
+#: Removed nodes of all hosts are sent to all tasks up to so many (8 bytes each, and a host's name a host).
 SENT = 1_000_000
-#: Elements that begin and end a block, those whose text is none, and those that are no article.
+#: Elements that begin and end a block, those without content, those whose text is none, and those that are no article.
 BLOCKS = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset head "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|textarea|title|xmp"
-WITHOUT_TEXT = "noscript|template|iframe|noembed|noframes|svg|math|object|select|button|canvas|audio|video"
+RAW = frozenset("script style textarea title xmp".split())
+WITHOUT_TEXT = frozenset("noscript template iframe noembed noframes svg math object select button canvas audio video".split())
 NOISE = frozenset("nav aside footer form menu dialog head search".split())
-NOISE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|"
-    r"menu|nav|navbar|navigation|breadcrumbs?|sidebar|widget|footer|masthead|share|sharing|social|related|recommend\w*|comments?|replies|disqus)(?:$|[\s_-])",
-    re.I,
-)
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    rf"|<(?P<shut>{WITHOUT_TEXT})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?</(?P=shut)\s*>"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<more>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|(?P<text>[^<]+|<)",
-    re.I | re.S,
-)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.I)
+NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
+COMMENTS = frozenset(("comment", "comments"))
 #: What an opening tag closes that was left open, up to the element that holds it.
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-
-
-class Node:
-    __slots__ = ("tag", "path", "noise", "inside", "children")
-
-    def __init__(self, tag: str, path: int, noise: bool, inside: bool):
-        self.tag, self.path, self.noise, self.inside, self.children = tag, path, noise, inside, []
-
-
-def _named(tag: str, more: str) -> tuple[str, bool]:
-    """An element's name in the tree, and whether its markup says that it is no article."""
-    noise, style = tag in NOISE, ""
-    if more.strip(" /"):
-        for m in ATTRIBUTE.finditer(more):
-            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name in ("class", "id"):
-                noise = noise or bool(NOISE_WORDS.search(value))
-                if name == "class" and value.strip():
-                    style = re.sub(r"\d+", "", value.split()[0].lower())
-            elif name == "role":
-                noise = noise or value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
-            elif name == "hidden" or value.lower() == "true":
-                noise = True
-    return f"{tag}.{style}" if style else tag, noise and tag not in ("html", "body", "main")
+CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
+CLOSES = {tag: (gone.split(), holders.split()) for tag, (gone, holders) in CLOSES.items()}
+
+NAME = re.compile(r"/?+[a-zA-Z][^\s/>]*+")
+TAG_END = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^<>]*+>?", re.I) for tag in RAW | WITHOUT_TEXT}
+
+#: Where a node is: outside or inside the article of a page that names one, on a page that names none, or never judged.
+OUTSIDE, INSIDE, ALONE, NEVER = 0, 1, 2, 3
+CONTENT, STYLE = 0, 1
+
+
+def tokens(page: str) -> Iterator[tuple[str | None, str]]:
+    """(None, text) and (tag in lower case, with / before an end tag's; what follows the name), in order."""
+    at, end, quotes = 0, len(page), True
+    endless: set[str] = set()  # elements without text that no end tag follows any more
+    while at < end:
+        opens = page.find("<", at)
+        if opens < 0:
+            opens = end
+        if opens > at:
+            yield None, page[at:opens]
+        if opens == end:
+            return
+        at = opens + 1
+        name = NAME.match(page, at)
+        if name is None:
+            if page.startswith("!--", at):
+                shut = page.find("-->", at + 3)
+                at = end if shut < 0 else shut + 3
+            elif page.startswith(("!", "?"), at):
+                at = page.find(">", at) + 1
+                if not at:
+                    yield None, page[opens:]
+                    return
+            else:
+                yield None, "<"
+            continue
+        tag, stop = name[0].lower(), -1
+        if quotes:
+            found = TAG_END.match(page, name.end())
+            quotes, stop = found is not None, found.end() if found else -1
+        if not quotes:
+            stop = page.find(">", name.end()) + 1
+            if not stop:
+                yield None, page[opens:]
+                return
+        at = stop
+        if tag in RAW or tag in WITHOUT_TEXT and tag not in endless:
+            if shut := _ENDS[tag].search(page, at):
+                at = shut.end()
+            elif tag in RAW:
+                return
+            else:
+                endless.add(tag)
+            continue
+        yield tag, page[name.end() : stop - 1]
 
 
-def blocks(page: str) -> Iterator[tuple[list[Node], str]]:
-    """The blocks of a page in order: the elements around each, from the outermost on, and its text, white space joined.
+class Page:
+    """The block elements of a page, parents before children, and its texts.
 
-    Elements that were closed are yielded with None for the text, for their children to be counted.
+    For each element: tag, path (hash of its names from the root on, and of whether the page names its article), up (its
+    parent's number), name, noise and inside; blocks: (number of the element around it, text with its white space joined).
     """
-    stack: list[Node] = [Node("", 0, False, False)]
-    held: list[str] = []
 
-    def text() -> str:
-        found = " ".join(entities.unescape("".join(held)).split())
+    def __init__(self, page: str):
+        self.tags, self.up, self.names, self.inside = [""], [-1], [""], [False]
+        self.blocks: list[tuple[int, str]] = []
+        self._stack: list[int] = [0]
+        self._open: dict[str, list[int]] = {}  # tag -> depths in the stack
+        self._own: list[tuple[bool, bool]] = [(False, False)]  # says that it is no article; not if it holds one
+        held: list[str] = []
+        for tag, more in tokens(page):
+            if tag is None:
+                held.append(more)
+                continue
+            name = tag.lstrip("/")
+            if name == "br":
+                held.append(" ")
+            if name not in BLOCKS:
+                continue
+            self._flush(held)
+            if tag[0] == "/":
+                if self._open.get(name):
+                    self._close(self._open[name][-1])
+            elif name not in VOID:
+                self._begin(name, more)
+        self._flush(held)
+        self._settle()
+
+    def _flush(self, held: list[str]) -> None:
+        if held and (text := " ".join(entities.unescape("".join(held)).split())):
+            self.blocks.append((self._stack[-1], text))
         held.clear()
-        return found
 
-    for m in TOKEN.finditer(page):
-        if m["text"] is not None:
-            held.append(m["text"])
-            continue
-        tag = m["tag"]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if tag == "br":
-            held.append(" ")
-        if tag not in BLOCKS and tag != "head":
-            continue
-        if held and (found := text()):
-            yield stack, found
-        if m["end"]:
-            if tag != "hr" and any(n.tag == tag for n in stack[1:]):
-                while len(stack) > 1:
-                    last = stack[-1].tag
-                    yield stack, None
-                    stack.pop()
-                    if last == tag:
-                        break
-            continue
-        if tag in VOID:
-            continue
-        if tag in CLOSES:
-            gone, limit = CLOSES[tag]
-            at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in gone or stack[k].tag in limit), 0)
-            if at and stack[at].tag in gone:
-                while len(stack) > at:
-                    yield stack, None
-                    stack.pop()
-        if stack[-1].tag == "p":  # any block ends a paragraph
-            yield stack, None
-            stack.pop()
-        if tag == "body":  # what is left open in the head ends here
-            while len(stack) > 1 and stack[-1].tag == "head":
-                yield stack, None
-                stack.pop()
-        name, noise = _named(tag, m["more"])
-        if tag == "header":  # an article's own header is its headline
-            noise = noise or not any(n.tag in ("article", "main") for n in stack)
-        up = stack[-1]
-        up.children.append(name)
-        stack.append(Node(tag, xxhash.xxh3_64_intdigest(f"{up.path}/{name}") - (1 << 63), noise or up.noise, up.inside or tag in ("article", "main")))
-    if held and (found := text()):
-        yield stack, found
-    while len(stack) > 1:
-        yield stack, None
-        stack.pop()
-
-
-CONTENT, STYLE = 0, 1  # 2 more for a node inside the article, 4 more for one that holds the whole page
-
-
-def occurrences(page: str) -> Counter:
-    """(path, its parent's path, kind, value) -> how often, for all nodes that may be an article's."""
-    found: Counter = Counter()
-    for stack, text in blocks(page):
-        node = stack[-1]
-        if node.noise:
-            continue
-        up = stack[-2].path if len(stack) > 1 else -1
-        value = "\0".join(node.children) if text is None else text
-        found[node.path, up, (STYLE if text is None else CONTENT) + 2 * node.inside + 4 * (node.tag in ("", "html", "body")), xxhash.xxh3_64_intdigest(value.encode("utf-8", "surrogatepass")) - (1 << 63)] += 1
-    return found
+    def _close(self, depth: int) -> None:
+        for node in self._stack[depth:]:
+            self._open[self.tags[node]].pop()
+        del self._stack[depth:]
 
+    def _deepest(self, tags: list[str]) -> int:
+        return max((self._open[t][-1] for t in tags if self._open.get(t)), default=0)
 
-def main_text(page: str, removed: frozenset[int] | set[int]) -> str:
-    """The page's blocks outside noise and removed branches, joined by line ends."""
-    out = []
-    for stack, text in blocks(page):
-        if text and not stack[-1].noise and not any(n.path in removed for n in stack):
-            out.append(text)
-    return "\n".join(out)
+    def _begin(self, tag: str, more: str) -> None:
+        if tag in CLOSES:
+            gone, holders = CLOSES[tag]
+            depth = self._deepest(gone)
+            if depth > self._deepest(holders):
+                self._close(depth)
+        if self.tags[self._stack[-1]] == "p":  # any block ends a paragraph
+            self._close(len(self._stack) - 1)
+        if tag == "body" and self._open.get("head"):  # what is left open in the head ends here
+            self._close(self._open["head"][0])
+        up, style = self._stack[-1], ""
+        noise, unless = tag in NOISE, tag in ("form", "dialog")
+        if tag == "header":  # an article's own header is its headline
+            noise = not self.inside[up]
+        if more.strip(" /"):
+            for m in ATTRIBUTE.finditer(more):
+                key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+                if key in ("class", "id", "itemprop"):
+                    words = value.split()
+                    if key == "class" and words:
+                        style = re.sub(r"\d+", "", words[0])
+                    if not noise and not COMMENTS.isdisjoint(words):
+                        noise = unless = True
+                elif key == "role" and value in NOISE_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
+                    noise, unless = True, False
+        if tag in ("html", "body", "main", "article"):
+            noise = False
+        name = f"{tag}.{style}" if style else tag
+        node = len(self.tags)
+        self.tags.append(tag)
+        self.up.append(up)
+        self.names.append(name)
+        self.inside.append(self.inside[up] or tag in ("article", "main"))
+        self._own.append((noise, unless))
+        self._open.setdefault(tag, []).append(len(self._stack))
+        self._stack.append(node)
+
+    def _settle(self) -> None:
+        """Noise goes down to all that an element holds; a form, dialog or comments' element that holds an article is none."""
+        self.named = any(self.inside)
+        self.paths = [int(self.named)]
+        for k in range(1, len(self.tags)):
+            self.paths.append(xxhash.xxh3_64_intdigest(f"{self.paths[self.up[k]]}/{self.names[k]}".encode("utf-8", "surrogatepass")) - (1 << 63))
+        holds = [t in ("main", "h1") or t == "article" for t in self.tags]
+        main = [t in ("main", "h1") for t in self.tags]
+        for k in range(len(self.tags) - 1, 0, -1):
+            holds[self.up[k]] |= holds[k]
+            main[self.up[k]] |= main[k]
+        self.noise = [False] * len(self.tags)
+        for k in range(1, len(self.tags)):
+            noise, unless = self._own[k]
+            # readers' comments are often articles themselves
+            article = holds[k] if self.tags[k] in ("form", "dialog") else main[k]
+            self.noise[k] = noise and not (unless and article) or self.noise[self.up[k]]
+
+    def text(self, removed: frozenset[int] | set[int]) -> str:
+        """The blocks outside noise and outside the branches of which all nodes are among the removed, joined by line ends."""
+        kept = [False] * len(self.tags)
+        for k, _ in self.blocks:
+            kept[k] = kept[k] or not self.noise[k] and self.paths[k] not in removed
+        for k in range(len(self.tags) - 1, 0, -1):
+            kept[self.up[k]] |= kept[k]
+        return "\n".join([text for k, text in self.blocks if kept[k] and not self.noise[k]])
+
+    def occurrences(self) -> dict[tuple[int, int, int, int, int], int]:
+        """(path, its parent's path, place, kind, hash of the content or presentation) -> how often, for all nodes."""
+        children: list[list[str]] = [[] for _ in self.tags]
+        for k in range(1, len(self.tags)):
+            children[self.up[k]].append(self.names[k])
+        found: dict[tuple[int, int, int, int, int], int] = {}
+        values = [(k, CONTENT, t) for k, t in self.blocks] + [(k, STYLE, "\0".join(c)) for k, c in enumerate(children)]
+        for k, kind, value in values:
+            never = self.tags[k] in ("", "html", "body") or self.inside[k] and self.tags[k] == "h1"
+            place = NEVER if never else INSIDE if self.inside[k] else OUTSIDE if self.named else ALONE
+            key = self.paths[k], self.paths[self.up[k]] if k else 0, place, kind, xxhash.xxh3_64_intdigest(value.encode("utf-8", "surrogatepass")) - (1 << 63)
+            found[key] = found.get(key, 0) + 1
+        return found
 
 
-def host(url: str = "url"):
+def host(url: str = "url") -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def _importance(nodes: list[tuple], share: float = SHARE, least: float = LEAST, seen: int = SEEN) -> list[int]:
-    """nodes of one tree: (path, parent, content entropy or None, style entropy or None, times seen, inside an article, holds the whole page) -> roots of removed branches."""
-    below: dict[int, list[int]] = {}
-    by = {}
-    for path, parent, content, style, n, inside, top in nodes:
-        by[path] = (content, style, n, 0.0 if top else LEAST_INSIDE if inside else least)
-        below.setdefault(parent, []).append(path)
-    peak: dict[int, float] = {}
-    kept: dict[int, bool] = {}
-    order, stack = [], [x[1] for x in nodes if x[1] not in by]
-    stack = [c for p in set(stack) for c in below[p]]
-    while stack:
-        path = stack.pop()
-        order.append(path)
-        stack += below.get(path, [])
-    for path in reversed(order):
-        content, style, _, bound = by[path]
-        peak[path] = inner = max([peak[c] for c in below.get(path, [])] + ([content] if content is not None else []), default=0.0)
-        value = inner if style is None else (1 - share) * style + share * inner
-        kept[path] = value >= bound or any(kept[c] for c in below.get(path, []))
-    gone: set[int] = set()
-    for path in order:  # parents first
-        if by[path][2] >= seen and not kept[path]:
-            gone.add(path)
-    return sorted(gone)
-
-
-def shared(pages: DataFrame) -> DataFrame:
-    """host, html, copies (rows of the host with that html) and every (rows of the table), both null for a html that comes once."""
-    rows = pages.select(host().alias("host"), "html", F.xxhash64("html").alias("payload"))
-    own = rows.groupBy("payload", "host").agg(F.count(F.lit(1)).alias("copies"))
-    every = own.groupBy("payload").agg(F.sum("copies").alias("every")).where("every > 1")
-    many = _shared.stable(own.join(every, "payload").select(F.xxhash64("payload", "host").alias("key"), "copies", "every"))
-    rows = rows.select("host", "html", F.xxhash64("payload", "host").alias("key"))
-    found = rows.join(F.broadcast(many), "key", "left") if many.count() <= SENT else _shared.attach(rows, many, "key")
-    return found.select("host", "html", "copies", "every")
+NODES = "array<struct<path:long,parent:long,place:int,kind:int,value:long,n:int>>"
 
 
-def trees(pages: DataFrame, share: float = SHARE, least: float = LEAST, seen: int = SEEN) -> DataFrame:
-    """host, removed (paths): the branches to remove, a row a host that has any; the host null stands for all hosts."""
+def styles(pages: DataFrame) -> DataFrame:
+    """host, payload (hash of the html) and nodes of every page, stored."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["host", "path", "parent", "kind", "value", "n", "of_all"]
-        held: Counter = Counter()
-        shares: Counter = Counter()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["path", "parent", "place", "kind", "value", "n"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+        for batch in batches:
+            found, ends = [], [0]
+            for page in batch.column(2):
+                found += [(*k, n) for k, n in Page(page.as_py() or "").occurrences().items()]
+                ends.append(len(found))
+            columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)] if found else [pa.array([], t) for t in kinds]
+            nodes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes], ["host", "payload", "nodes"])
 
-        def out() -> pa.RecordBatch:
-            rows = [(h, *k, n, shares[h, k]) for (h, k), n in held.items()]
-            held.clear()
-            shares.clear()
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    rows = pages.select(host().alias("host"), F.xxhash64("html").alias("payload"), "html")
+    return _shared.spilled(rows.mapInArrow(run, f"host string, payload long, nodes {NODES}"), "styles")
 
-        for batch in batches:
-            for name, page, copies, every in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                for k, n in occurrences(page.as_py() or "").items():
-                    held[name, k] += n / (copies or 1)
-                    shares[name, k] += n / (every or 1)
-                if len(held) > 100_000:
-                    yield out()
-        if held:
-            yield out()
-
-    rows = shared(pages).mapInArrow(count, "host string, path long, parent long, kind int, value long, n double, of_all double")
-    rows = _shared.spilled(rows, "styles")
-
-    def entropies(keys: list[str]) -> DataFrame:
-        # the shares of a payload's copies add up to one
-        n = F.round(F.sum("n" if keys else "of_all")).cast("long")
-        values = rows.groupBy(*keys, "path", "parent", "kind", "value").agg(n.alias("n"))
-        m = F.sum("n")
-        # -sum p log p, to the base of the number of occurrences
-        spread = F.when(m > 1, (F.log(m) - F.sum(F.col("n") * F.log("n")) / m) / F.log(m)).otherwise(F.lit(1.0))
-        parts = values.groupBy(*keys, "path", "parent", "kind").agg(spread.alias("h"), m.alias("m"))
-        at = lambda kind: F.max(F.when(F.col("kind") % 2 == kind, F.col("h")))
-        return parts.groupBy(*keys, "path", "parent").agg(at(CONTENT).alias("content"), at(STYLE).alias("style"), F.max("m").alias("m"), F.max(F.col("kind") % 4 >= 2).alias("inside"), F.max(F.col("kind") >= 4).alias("top"))
-
-    def judge(t: pa.Table) -> pa.Table:
-        columns = [t[c].to_pylist() for c in ("path", "parent", "content", "style", "m", "inside", "top")]
-        gone = _importance(list(zip(*columns, strict=True)), share, least, seen)
-        return pa.table({"host": t["host"].slice(0, 1), "removed": pa.array([gone], pa.list_(pa.int64()))})
-
-    schema = "host string, removed array<long>"
-    own = entropies(["host"]).groupBy("host").applyInArrow(judge, schema)
-    every = entropies([]).withColumn("host", F.lit(None).cast("string")).groupBy("host").applyInArrow(judge, schema)
-    return _shared.stable(own.unionByName(every).where(F.size("removed") > 0))
-
-
-def extract(pages: DataFrame, share: float = SHARE, least: float = LEAST, seen: int = SEEN) -> DataFrame:
+
+def _weighed(rows: DataFrame) -> DataFrame:
+    """host, nodes, copies (rows of the host with that payload) and every (rows of the table with it); null: one."""
+    own = rows.groupBy("payload", "host").agg(F.count(F.lit(1)).alias("copies"))
+    every = own.groupBy("payload").agg(F.sum("copies").alias("every")).where("every > 1")
+    many = _shared.stable(own.join(every, "payload").select(F.xxhash64("payload", "host").alias("key"), "copies", "every"))
+    keyed = rows.select("host", "nodes", F.xxhash64("payload", "host").alias("key"))
+    return keyed.join(F.broadcast(many), "key", "left") if many.count() <= SENT else _shared.attach(keyed, many, "key")
+
+
+def _spread(m: Column, logs: Column) -> Column:
+    """The entropy of counts n to the base of their sum m; logs: the sum of n * log(n). One occurrence varies in full."""
+    return F.when(m > 1, (F.log(m) - logs / m) / F.log(m)).otherwise(F.lit(1.0))
+
+
+def importances(rows: DataFrame, share: float = SHARE, seen: int = SEEN) -> DataFrame:
+    """styles() -> host, path, place and importance (null: not judged) of all nodes that a text stands in."""
+    node = F.explode("nodes").alias("x")
+    n = _weighed(rows).select("host", "copies", "every", node).select("host", "x.*", (F.col("x.n") / F.coalesce("copies", F.lit(1))).alias("own"), (F.col("x.n") / F.coalesce("every", F.lit(1))).alias("of_all"))
+    # the shares of a payload's copies add up to one
+    values = n.groupBy("path", "parent", "place", "kind", "value", "host").agg(F.round(F.sum("own")).alias("n"), F.sum("of_all").alias("of_all"))
+    values = _shared.spilled(values, "values")
+    nodes = values.groupBy("host", "path", "parent", "place", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("logs"))
+    nodes = _shared.spilled(nodes.withColumn("h", _spread(F.col("m"), F.col("logs"))), "nodes")
+    full = F.col("m") * F.log("m")
+    several = F.sum(F.when(F.col("m") > 1, F.col("m")))
+    within = nodes.groupBy("path", "kind").agg(F.when(several >= seen, F.sum(full - F.col("logs")) / F.sum(full)).alias("within"))
+    whole = values.groupBy("path", "kind", "value").agg(F.round(F.sum("of_all")).alias("n")).groupBy("path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("logs"))
+    every = whole.where(F.col("m") >= seen).select("path", "kind", _spread(F.col("m"), F.col("logs")).alias("whole"))
+    every = every.join(within, ["path", "kind"]).select("path", "kind", F.least("whole", "within").alias("all_h"))
+    # common paths are in every host: hot keys of this join
+    keyed = nodes.withColumn("key", F.xxhash64("path", "kind"))
+    known = _shared.stable(every.select(F.xxhash64("path", "kind").alias("key"), "all_h"))
+    judged = keyed.join(F.broadcast(known), "key", "left") if known.count() <= SENT else _shared.attach(keyed, known, "key")
+    own = F.when(F.col("m") >= seen, F.col("h"))
+    h = F.when(F.col("place") == OUTSIDE, F.least(own, "all_h")).otherwise(F.coalesce(own, "all_h"))
+    judged = judged.select("host", "path", "parent", "place", "kind", h.alias("h"))
+    # what stands in a node is shown by the element that holds it
+    content = judged.where(F.col("kind") == CONTENT).select("host", "path", "parent", "place", F.col("h").alias("content"))
+    style = judged.where(F.col("kind") == STYLE).select("host", F.col("path").alias("parent"), F.col("h").alias("style"))
+    both = content.join(style, ["host", "parent"], "left")
+    return both.select("host", "path", "place", (share * F.col("content") + (1 - share) * F.coalesce("style", F.lit(1.0))).alias("importance"))
+
+
+def trees(rows: DataFrame, share: float = SHARE, least: float = LEAST, seen: int = SEEN) -> DataFrame:
+    """styles() -> host, path: the nodes without importance."""
+    bound = F.when(F.col("place") == INSIDE, LEAST_INSIDE).when(F.col("place") == OUTSIDE, LEAST_OUTSIDE).when(F.col("place") == ALONE, least)
+    return _shared.stable(importances(rows, share, seen).where(F.col("importance") < bound).select("host", "path"))
+
+
+def extract(pages: DataFrame, share: float = SHARE, least: float = LEAST, seen: int = SEEN, sent: int = SENT) -> DataFrame:
     """page_id, url, text for every row of pages."""
-    removed = trees(pages, share, least, seen)
-    every = removed.where("host is null").select("removed").collect()  # one row: the paths that templates share
-    every = frozenset(every[0]["removed"]) if every else frozenset()
-    own = removed.where("host is not null")
-    size = own.agg(F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()[0]
+    _shared.ship(pages.sparkSession)
+    stored = styles(pages)
+    gone = trees(stored, share, least, seen)
     rows = pages.select("page_id", "url", "html", host().alias("host"))
-    rows = rows.join(F.broadcast(own), "host", "left") if size <= SENT else _shared.attach(rows, own, "host")
+    listed = F.collect_set("path").alias("removed")
+    if gone.count() <= sent:
+        rows = rows.join(F.broadcast(gone.groupBy("host").agg(listed)), "host", "left")
+    else:
+        own = stored.select("host", "payload", F.explode(F.array_distinct(F.transform("nodes", lambda x: x["path"]))).alias("path")).distinct()
+        own = own.withColumn("key", F.xxhash64("host", "path"))
+        gone = gone.select(F.xxhash64("host", "path").alias("key"), F.lit(True).alias("low"))
+        hits = _shared.attach(own, gone, "key").where("low").groupBy(F.xxhash64("host", "payload").alias("page")).agg(listed)
+        rows = _shared.attach(rows.withColumn("page", F.xxhash64("host", F.xxhash64("html"))), hits, "page")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, gone in zip(batch.column(2), batch.column(3), strict=True):
-                texts.append(main_text(page.as_py() or "", every | set(gone.as_py() or ())))
+            for page, removed in zip(batch.column(2), batch.column(3), strict=True):
+                texts.append(Page(page.as_py() or "").text(set(np.asarray(removed.values).tolist()) if removed.is_valid else set()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     schema = pages.select("page_id", "url").schema.add("text", "string")

@@ -281,13 +281,15 @@ PAGE = """<!DOCTYPE html><html><head><title>x</title><script>var a="</p><p>no";<
 
 
 def test_page_text(spark):
-    rows = [(1, "http://h/1", PAGE), (2, None, None), (3, "http://h/3", ""), (1, "http://h/1", PAGE), (4, "no url", "plain < text & more")]
+    # a notice and an advert are known by coming on other pages as well
+    page = lambda i: PAGE.replace("A &amp; B", f"A &amp; B{i}").replace("goes on", f"goes on {i}").replace("Second", f"Second {i}")
+    rows = [(i, f"http://h/{i}", page(i)) for i in range(40)] + [(1, "http://h/1", page(1)), (200, None, None), (300, "http://h/3", ""), (400, "no url", "plain < text & more")]
     # a template that no markup names: the same line on every page of a host
-    rows += [(100 + i, f"https://t.example/{i}", f"<body><div class=top><p>Our shop is great</p></div><div class=main><p>Story {i} of {i * 7}</p><p>And {i * 3} more</p></div></body>") for i in range(60)]
+    rows += [(500 + i, f"https://t.example/{i}", f"<body><div class=top><p>Our shop is great</p></div><div class=main><p>Story {i} of {i * 7}</p><p>And {i * 3} more</p></div></body>") for i in range(60)]
     got = {r["page_id"]: r["text"] for r in pagetext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[1] == "A & B\nFirst para graph goes on\nSecond"
-    assert got[2] == got[3] == "" and got[4] == "plain < text & more"
-    assert got[107] == "Story 7 of 49\nAnd 21 more"
+    assert got[1] == "A & B1\nFirst para graph goes on 1\nSecond 1"
+    assert got[200] == got[300] == "" and got[400] == "plain < text & more"
+    assert got[507] == "Story 7 of 49\nAnd 21 more"
     assert pagetext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
