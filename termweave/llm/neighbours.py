@@ -1,19 +1,23 @@
-"""Approximate nearest neighbours by inner product, with a robust-pruned directed graph in every shard.
+"""Approximate nearest neighbours by inner product, with robust-pruned directed graphs in every shard.
 
 Equal vectors are one point of the index, so copies can't prune each other away; a point keeps the ids that could be
 among k results, the k + 1 smallest (exact, as ties go to smaller ids). Points are dealt to shards by the hash of the
-vector. In a shard inner products become distances by one more coordinate, which gives all points one length. The
-graph is grown in batches: each point's greedy beam search proposes what it has visited; robust pruning goes through
+vector. In a shard they are cut into bands by their length, from the longest on, none in a band RATIO times longer than
+another; each band has a graph of its own. There inner products become distances by one more coordinate, which gives all
+points one length - in a band, of little weight, so that what tells points apart is not lost beside a few long ones.
+The graph is grown in batches: each point's greedy beam search proposes what it has visited; robust pruning goes through
 them from the nearest on, keeps one, and drops those that are ALPHA times nearer to it than to the point; the edges
 are then turned round as well, and lists that grow too long are pruned again. The finished graphs are stored.
 
-Queries are dealt in blocks; each meets each shard, where beam search from the shard's middle finds candidates. These
-are scored again on the original vectors in double precision, and a query's best of all shards are its neighbours.
+Queries are dealt in blocks; each meets each shard, where beam search from a band's middle finds candidates. These are
+scored again on the original vectors in double precision. A band whose longest vector can't reach what a query has
+found in longer bands is passed over, which loses nothing. A query's best of all shards are its neighbours. With
+exact=True all points of a shard are scored, in blocks: the exact way, and what recall() measures the graphs against.
 
 Defined results: vectors that are null, zero, of another length than most rows' (the first by count, then the
 greater), or hold null or non-finite components are neither queries nor found; a null id likewise. Rows that repeat
-an id and vector are one; rows that repeat an id with other vectors are rows of their own. An empty table gives an
-empty result. Only the id and vector columns are looked at.
+an id are one thing with one or several vectors: it asks with all of them, is found at its best score, once, and never
+by itself. An empty table gives an empty result. Only the id and vector columns are looked at.
 """
 
 from __future__ import annotations
@@ -29,7 +33,10 @@ SHARD = 8192
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 40, 72, 144, 1.15
 #: Nodes whose edges are followed at once, points searched for at once, candidates that pruning looks at.
 WIDTH, BATCH, PROPOSED = 4, 512, 128
-QUERIES = 4096
+#: The longest vector of a band to its shortest.
+RATIO = 1.25
+#: Bytes of query vectors that a task has at once; each block of them reads each shard's graphs once.
+QUERY_BYTES = 1 << 25
 
 
 def search(x: np.ndarray, edges: np.ndarray, start: int, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,9 +156,46 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: fl
 
 
 def level(x: np.ndarray) -> np.ndarray:
-    """float32 rows with one more coordinate that gives all one length: the nearest is then the largest inner product."""
-    n = (x * x).sum(axis=1)
-    return np.concatenate([x, np.sqrt(np.maximum(n.max() - n, 0))[:, None]], axis=1).astype(np.float32)
+    """float32 rows, the longest of length one, with one more coordinate that gives all one length: the nearest to a
+    query is then the one of the largest inner product."""
+    n = np.einsum("ij,ij->i", x, x)
+    most = max(float(n.max(initial=0)), np.finfo(float).tiny)
+    return np.concatenate([x / np.sqrt(most), np.sqrt(np.maximum(1 - n / most, 0))[:, None]], axis=1).astype(np.float32)
+
+
+def bands(x: np.ndarray, ratio: float = RATIO) -> np.ndarray:
+    """The number of each row's band: 0 from the longest row down to `ratio` times shorter ones, and so on."""
+    length = np.linalg.norm(x, axis=1)
+    order = np.argsort(-length, kind="stable")
+    down, out, at, number = -length[order], np.zeros(len(x), np.int32), 0, 0
+    while at < len(x):
+        end = int(np.searchsorted(down, down[at] / ratio, "right"))
+        out[order[at:end]] = number
+        at, number = end, number + 1
+    return out
+
+
+class Best:
+    """The k largest scores of each query so far, with their ids; ties to smaller ids."""
+
+    def __init__(self, own: list, k: int):
+        self.own, self.k = own, k
+        self.found: list[list[tuple]] = [[] for _ in own]
+        self.least = np.full(len(own), -np.inf)
+
+    def add(self, query: int, scores: np.ndarray, ids: list) -> None:
+        """scores of points, and the ids of each."""
+        if len(scores) > self.k + 1:  # a point may be the query's own
+            near = np.flatnonzero(scores >= np.partition(scores, -self.k - 1)[-self.k - 1])
+        else:
+            near = np.arange(len(scores))
+        own = self.own[query]
+        more = {i: -s for i, s in ((i, s) for at in near.tolist() for s in (float(scores[at]),) for i in ids[at] if i != own)}
+        for s, i in self.found[query]:
+            more[i] = min(s, more.get(i, s))
+        self.found[query] = best = sorted((s, i) for i, s in more.items())[: self.k]
+        if len(best) == self.k:
+            self.least[query] = -best[-1][0]
 
 
 def _matrix(column: pa.ChunkedArray, kind: type) -> np.ndarray:
@@ -171,8 +215,8 @@ def usable(rows: DataFrame, id_: str, vector: str) -> DataFrame:
     return rows.where(F.size("v") == (sizes[0]["n"] if sizes else 0)).withColumn("v", F.transform("v", lambda c: c + F.lit(0.0)))
 
 
-def index(rows: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame:
-    """rows: id, v -> shard, at, ids, v, edges: the stored graphs."""
+def index(rows: DataFrame, k: int = K, shard: int = SHARD, graphs: bool = True) -> DataFrame:
+    """rows: id, v -> shard, band, at, ids, v, edges (places in the band; none without graphs): the stored shards."""
     hashed = rows.distinct().withColumn("h", F.xxhash64("v"))
     first = Window.partitionBy("h", "v").orderBy("id")
     points = hashed.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)  # limited before the shuffle, too
@@ -182,46 +226,70 @@ def index(rows: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame:
 
     def grow(t: pa.Table) -> pa.Table:
         t = t.sort_by("h")
-        x = level(_matrix(t["v"], np.float64))
-        edges = build(x)
-        return pa.table({"shard": t["shard"], "at": pa.array(np.arange(len(x)), pa.int32()), "ids": t["ids"], "v": t["v"], "edges": pa.array(list(edges), pa.list_(pa.int32()))})
+        x = _matrix(t["v"], np.float64)
+        band = bands(x)
+        parts = [np.flatnonzero(band == k) for k in range(int(band.max(initial=-1)) + 1)]
+        edges = [e for part in parts for e in build(level(x[part]))] if graphs else [[]] * len(x)
+        t = t.take(np.concatenate(parts))
+        return pa.table({"shard": t["shard"], "band": pa.array(np.sort(band)), "at": pa.array(np.arange(len(x)), pa.int32()), "ids": t["ids"], "v": t["v"], "edges": pa.array(edges, pa.list_(pa.int32()))})
 
     dealt = points.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
-    return _shared.spilled(dealt.groupBy("shard").applyInArrow(grow, f"shard int, at int, ids array<{id_type}>, v array<double>, edges array<int>"), "graphs")
+    return _shared.spilled(dealt.groupBy("shard").applyInArrow(grow, f"shard int, band int, at int, ids array<{id_type}>, v array<double>, edges array<int>"), "graphs")
 
 
-def neighbours(rows: DataFrame, asks: Column, id_: str = "vec_id", vector: str = "embedding", k: int = K, shard: int = SHARD, beam: int = SEARCH_BEAM) -> DataFrame:
+def neighbours(rows: DataFrame, asks: Column, id_: str = "vec_id", vector: str = "embedding", k: int = K, shard: int = SHARD, beam: int = SEARCH_BEAM, exact: bool = False) -> DataFrame:
     """The k nearest other rows of each row where `asks` (of the column `id`) holds: query_id, rank, vec_id, score."""
     _shared.ship(rows.sparkSession)
     rows = usable(rows, id_, vector)
-    graphs = index(rows, k, shard)
+    graphs = index(rows, k, shard, not exact)
     shards = graphs.agg(F.max("shard")).first()[0]
-    queries = rows.where(asks)
-    blocks = max(1, -(-queries.count() // QUERIES))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    queries = rows.where(asks).distinct()
+    sizes = queries.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    blocks = max(1, -(-sizes[0] * (sizes[1] or 1) * 8 // QUERY_BYTES))
+    block = F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")
     id_type = rows.schema["id"].dataType.simpleString()
-    queries = queries.distinct().select("id", "v", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards or 0))).alias("shard"))
+    queries = queries.select("id", "v", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards or 0))).alias("shard"))
     trees = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def look(graph: pa.Table, asked: pa.Table) -> pa.Table:
-        names, out = ["query_id", "vec_id", "score"], []
+        out: list[tuple] = []
         if graph.num_rows and asked.num_rows:
             graph = graph.sort_by("at")
-            exact = _matrix(graph["v"], np.float64)
-            x, edges, ids = level(exact), _matrix(graph["edges"], np.int64), graph["ids"].to_pylist()
-            q, own, start = _matrix(asked["v"], np.float64), asked["id"].to_pylist(), middle(x)
-            for a in range(0, len(q), BATCH):
-                part = q[a : a + BATCH]
-                found, _ = search(x, edges, start, np.concatenate([part, np.zeros((len(part), 1))], 1).astype(np.float32), beam)
-                for n, row in enumerate(found):
-                    row = row[row >= 0]
-                    scores = exact[row] @ part[n]
-                    best = sorted(((-s, i) for s, at in zip(scores.tolist(), row.tolist(), strict=True) for i in ids[at] if i != own[a + n]))[:k]
-                    out += [(own[a + n], i, -s) for s, i in best]
+            points, ids = _matrix(graph["v"], np.float64), graph["ids"].to_pylist()
+            edges = None if exact else _matrix(graph["edges"], np.int64)
+            q, own, band = _matrix(asked["v"], np.float64), asked["id"].to_pylist(), graph["band"].to_numpy()
+            best, length = Best(own, k), np.linalg.norm(q, axis=1)
+            for number in range(int(band[-1]) + 1):  # the longest vectors first
+                a, b = np.searchsorted(band, [number, number + 1])
+                part, names = points[a:b], ids[a:b]
+                reach = length * np.linalg.norm(part, axis=1).max() * (1 + 1e-9)
+                x = None if exact else level(part)
+                start = None if exact else middle(x)
+                for c in range(0, len(q), BATCH):
+                    some = np.arange(c, min(c + BATCH, len(q)))
+                    some = some[reach[some] >= best.least[some]]
+                    if exact:
+                        for n, scores in zip(some.tolist(), q[some] @ part.T, strict=True):
+                            best.add(n, scores, names)
+                    elif len(some):
+                        unit = np.concatenate([q[some] / length[some, None], np.zeros((len(some), 1))], 1).astype(np.float32)
+                        found, _ = search(x, edges[a:b], start, unit, beam)
+                        for n, row in zip(some.tolist(), found, strict=True):
+                            row = row[row >= 0]
+                            best.add(n, part[row] @ q[n], [names[at] for at in row.tolist()])
+            out = [(own[n], i, -s) for n, found in enumerate(best.found) for s, i in found]
         columns = list(zip(*out, strict=True)) or [()] * 3
         kinds = [asked["id"].type, asked["id"].type, pa.float64()]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "vec_id", "score"])
 
     found = trees.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(look, f"query_id {id_type}, vec_id {id_type}, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def recall(rows: DataFrame, asks: Column, **named) -> float:
+    """The share of the exact neighbours of the asking rows that the graphs find."""
+    near, exact = neighbours(rows, asks, **named), neighbours(rows, asks, exact=True, **named)
+    pair = ["query_id", "vec_id"]
+    hits = exact.select(*pair).join(near.select(*pair, F.lit(1).alias("hit")), pair, "left")
+    return hits.agg(F.avg(F.coalesce("hit", F.lit(0)))).first()[0]

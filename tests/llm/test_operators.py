@@ -334,3 +334,43 @@ def test_neighbours(spark):
     assert neighbours.neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("id") % 20 == 0).count() == 0
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r["vec_id"], r["rank"]) for r in neighbours.neighbours(few, F.col("id") % 20 == 0).orderBy("rank").collect()] == [(2, 1), (1, 2)]
+
+
+@pytest.mark.parametrize("norms", ["unit", "log-normal", "one outlier"])
+def test_recall_at_any_length(spark, norms):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(8192, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x *= {"unit": np.ones(8192), "log-normal": np.exp(1.5 * rng.normal(size=8192)), "one outlier": np.r_[1e4, np.ones(8191)]}[norms][:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(dict)
+    for r in neighbours.neighbours(df, F.col("id") % 20 == 0).collect():
+        got[r["query_id"]][r["vec_id"]] = r["score"]
+    hits = []
+    for i in range(0, 8192, 20):
+        s = x @ x[i]
+        s[i] = -np.inf
+        best = np.argsort(-s, kind="stable")[:20]
+        hits.append(len(set(best.tolist()) & set(got[i])) / 20)
+        assert len(got[i]) == 20 and all(abs(v - s[j]) <= 1e-9 * abs(s[j]) for j, v in got[i].items())
+    assert np.mean(hits) >= 0.95
+
+
+def test_exact_neighbours_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "QUERY_BYTES", 8 * 8 * 10)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(300, 8)) * np.exp(rng.normal(size=300))[:, None]
+    # an id with several vectors asks with all, is found once at its best and never by itself
+    ids = [k if k < 250 else k - 250 for k in range(300)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").withColumns({c: F.lit("mine") for c in ("band", "shard", "score", "block", "h")})
+    want = set()
+    for i in range(0, 250, 20):
+        best = {}
+        for a in np.flatnonzero(np.array(ids) == i):
+            for j, s in zip(ids, x @ x[a], strict=True):
+                if j != i:
+                    best[j] = max(best.get(j, -np.inf), float(s))
+        want |= {(i, k + 1, j) for k, j in enumerate(sorted(best, key=lambda j: (-best[j], j))[:20])}
+    for exact in (True, False):
+        assert {(r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.neighbours(df, F.col("id") % 20 == 0, shard=100, exact=exact).collect()} == want
+    assert neighbours.recall(df, F.col("id") % 20 == 0, shard=100) == 1.0
