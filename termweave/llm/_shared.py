@@ -59,6 +59,11 @@ def spilled(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole(rows: DataFrame) -> Column:
+    """All columns of rows as one struct, so that no name of theirs can meet a name of ours."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in rows.columns])
+
+
 def id_bucket(column: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo `mod`; null for a null id."""
     return F.crc32(column.cast("string").cast("binary")) % mod

@@ -274,6 +274,47 @@ def test_very_common_lines(spark):
     assert list(got[i] for i, _ in rows) == list(slow_cut([t.encode() for _, t in rows]))
 
 
+@pytest.mark.parametrize("hot, hot_edges, group", [(64, 512, 1 << 13), (2, 1 << 30, 3), (3, 4, 5), (1 << 30, 1 << 30, 2), (1 << 30, 3, 1 << 30)])
+def test_every_digit_alone(spark, hot, hot_edges, group):
+    """Whichever digit rows are dealt by, the bytes that go are the same."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefghij é") for _ in range(n))
+    lines = [word(n) for n in (120, 140, 170, 199, 230, 420)]
+    rows = [(i, "".join(word(rng.randint(0, 90)) + rng.choice(lines) for _ in range(rng.randint(0, 6)))) for i in range(250)]
+    rows += [(1000 + i, rows[7][1]) for i in range(30)] + [(i, "ab" * 300) for i in range(2000, 2010)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.Counter((r["doc_id"], bytes(r["kept"]), r["n_removed"], r["n_spans"]) for r in suffixes.remaining(docs, hot=hot, hot_edges=hot_edges, group=group).collect())
+    texts = [t.encode() for _, t in rows]
+    assert got == collections.Counter((rows[k][0], *cut) for k, cut in enumerate(slow_cut(texts)))
+
+
+def test_windows_streamed():
+    """Groups that begin in one batch and end in another, with and without word of windows dealt elsewhere."""
+    import pyarrow as pa
+
+    rng = random.Random(13)
+    core, rows = bytes(rng.randrange(256) for _ in range(132)), []
+    for key in range(6):
+        for i in range((1, 2, 3, 20, 40, 7)[key]):
+            left, right = bytes(rng.choice(b"xy") for _ in range(3)), rng.choice((b"u" * 80, b"v" * 80))
+            rows.append((key, 0, i, key, 1000, 71, left + core + right, True, suffixes.BYTES))
+    rows += [(5, 0, 0, None, -1, None, None, None, suffixes.TOLD)]
+    rows.sort(key=lambda r: (r[0], r[4]))
+    want = None
+    for most in (1 << 20, 4, 1):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(suffixes.EDGE_SCHEMA.names, r, strict=True)) for r in rows[k : k + 5]], suffixes.EDGE_SCHEMA) for k in range(0, len(rows), 5)]
+        out = pa.Table.from_batches(list(suffixes._ordered(200, 64, most)(iter(batches)))).to_pylist()
+        windows = sorted((r["key"], r["other"], r["k1"], r["k2"], r["at"], r["left"]) for r in out if r["kind"] == suffixes.WINDOW)
+        columns = [pa.array(np.array([w[k] for w in windows], np.int64)) for k in range(6)]
+        spans = [r for b in suffixes._repeats(200)(iter([pa.RecordBatch.from_arrays(columns, list("abcdef"))])) for r in b.to_pylist()]
+        gone = collections.defaultdict(set)
+        for k1, k2, span in [(r["k1"], r["k2"], r["at"]) for r in out if r["kind"] == suffixes.SPAN] + [(r["k1"], r["k2"], r["span"]) for r in spans]:
+            gone[k1, k2] |= set(range(span >> 32, span & 0xFFFFFFFF))
+        assert any(k[1] == 5 for k in gone) and {r["k2"] for r in out if r["kind"] == suffixes.WINDOW} >= {5}
+        assert want in (None, dict(gone))
+        want = dict(gone)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>x</title><script>var a="</p><p>no";</script></head><body class="nav-open">
 <nav><ul><li><a href=/a>Home</a><li>About</ul></nav><div class="cookie-notice">We use cookies</div>
 <article><header><h1>A &amp; B</h1></header><p>First  <b>para</b>&nbsp;graph<br>goes on<p>Second<div class="ad">Buy</div>
