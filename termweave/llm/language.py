@@ -1,13 +1,15 @@
 """Language identification by hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. A letter trigram's vector binds the three, permuted by their place:
-roll(a, 2) * roll(b, 1) * c. A text's vector bundles (adds) those of all its trigrams; a language's prototype bundles
-those of all its training texts. The language whose prototype has the largest cosine with the text's vector is
-predicted. Bundling is linear, so training needs only trigram counts, over every training row.
+Every letter of Unicode has a random vector of +1 and -1, drawn from its code point. A letter trigram's vector binds the
+three, permuted by their place: roll(a, 2) * roll(b, 1) * c; what is no letter binds as the identity. A text's vector
+bundles (adds) those of all its trigrams; a language's prototype bundles those of all its training texts. The language
+whose prototype has the largest cosine with the text's vector is predicted. Bundling is linear, so training needs only
+trigram counts, over every training row.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; so is every text when nothing could be
 learned. A null language or id is not learned from. Ties between languages go to the smaller name. Repeated rows
-count each time. An empty table gives an empty result. Only the named columns are looked at.
+count each time. An empty table gives an empty result. Only the named columns are looked at. More than LANGUAGES
+different languages to learn are an error: one vector each comes to the driver, and a column of so many holds no languages.
 """
 
 from __future__ import annotations
@@ -20,11 +22,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import _shared
 
-DIMENSIONS = 512
+DIMENSIONS = 2048
 SEED = 20240229
-#: Letters are told apart by 6 bits: a to z have one number each, all other letters share the rest; 0 stands between words.
-BITS = 6
-SLOTS = 1 << 3 * BITS
+#: Different languages that can be learned.
+LANGUAGES = 1024
+#: Trigram vectors, and letter vectors, that a worker remembers; trigrams bundled at once; trigram counts that a task holds.
+REMEMBERED, AT_ONCE, COUNTED = 1 << 14, 1 << 12, 1 << 19
+#: Bits of a code point in a trigram's number.
+BITS = 21
 UNKNOWN = "und"
 #: A text of so many different trigrams is unlike every language below so many deviations of a random vector's cosine,
 #: 1 / sqrt(dimensions); in fewer trigrams clean texts score no more than noise.
@@ -32,89 +37,120 @@ TOLD, DEVIATIONS = 50, 4.0
 _state: dict = {}
 
 
-def _symbols() -> np.ndarray:
-    """Code point -> letter number."""
-    if "symbols" not in _state:
-        table = np.zeros(0x110000, np.uint8)
-        points = np.array([p for p in range(0x110000) if not 0xD800 <= p < 0xE000 and chr(p).isalpha()])
-        table[points] = 27 + points % 37
-        table[97:123] = np.arange(1, 27)
-        _state["symbols"] = table
-    return _state["symbols"]
+def _letters() -> np.ndarray:
+    """Code point -> is it a letter?"""
+    if "letters" not in _state:
+        table = np.zeros(0x110000, bool)
+        table[[p for p in range(0x110000) if not 0xD800 <= p < 0xE000 and chr(p).isalpha()]] = True
+        _state["letters"] = table
+    return _state["letters"]
 
 
 def trigrams(text: str) -> np.ndarray:
-    """The slots of all letter trigrams of a whole text, in order; words are set off by one boundary."""
-    low = text.lower()
-    points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = np.zeros(len(points) + 2, np.int32)
-    s[1:-1] = _symbols()[points]
-    keep = s[1:-1] > 0
-    return ((s[:-2] << 2 * BITS) | (s[1:-1] << BITS) | s[2:])[keep]
+    """The numbers of all letter trigrams of a whole text, in order; words are set off by one boundary."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    s = np.zeros(len(points) + 2, np.int64)
+    s[1:-1] = np.where(_letters()[points], points, 0)
+    return ((s[:-2] << 2 * BITS) | (s[1:-1] << BITS) | s[2:])[s[1:-1] > 0]
 
 
 class Vectors:
-    """Trigram vectors, made when first needed: SLOTS of them at most, DIMENSIONS bytes each."""
+    """Letter and trigram vectors, made when first needed; REMEMBERED of each at most are kept."""
 
     def __init__(self, dimensions: int = DIMENSIONS, seed: int = SEED):
-        signs = np.random.default_rng(seed).integers(0, 2, (1 << BITS, dimensions), np.int8) * 2 - 1
-        signs[0] = 1  # a boundary binds as the identity
-        self.first, self.second, self.third = np.roll(signs, 2, 1), np.roll(signs, 1, 1), signs
-        self.row = np.full(SLOTS, -1, np.int32)
-        self.made = np.zeros((1024, dimensions), np.float32)
-        self.n = 0
-
-    def of(self, slots: np.ndarray) -> np.ndarray:
-        new = slots[self.row[slots] < 0]
-        if len(new):
-            mask = (1 << BITS) - 1
-            if self.n + len(new) > len(self.made):
-                self.made = np.concatenate([self.made, np.zeros((max(len(self.made), len(new)), self.made.shape[1]), np.float32)])
-            self.made[self.n : self.n + len(new)] = self.first[new >> 2 * BITS] * self.second[new >> BITS & mask] * self.third[new & mask]
-            self.row[new] = np.arange(self.n, self.n + len(new))
-            self.n += len(new)
-        return self.made[self.row[slots]]
-
-
-def counted(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct slots and how often each comes."""
-    s = np.sort(slots)
+        self.dimensions, self.seed = dimensions, seed
+        self.letters: dict[int, np.ndarray] = {}
+        self.row: dict[int, int] = {}
+        self.made = np.zeros((1024, dimensions), np.int8)
+
+    def letter(self, point: int) -> np.ndarray:
+        found = self.letters.get(point)
+        if found is None:
+            if len(self.letters) >= REMEMBERED:
+                self.letters.clear()
+            bits = np.frombuffer(np.random.default_rng([self.seed, point]).bytes(-(-self.dimensions // 8)), np.uint8)
+            # a boundary binds as the identity
+            found = np.unpackbits(bits)[: self.dimensions].astype(np.int8) * 2 - 1 if point else np.ones(self.dimensions, np.int8)
+            self.letters[point] = found
+        return found
+
+    def _place(self, points: np.ndarray, shift: int) -> np.ndarray:
+        values, which = np.unique(points, return_inverse=True)
+        return np.roll(np.array([self.letter(p) for p in values.tolist()], np.int8), shift, 1)[which]
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        """The vectors of AT_ONCE different trigrams at most, a row each."""
+        row = self.row
+        new = [g for g in grams.tolist() if g not in row]
+        if new:
+            if len(row) + len(new) > REMEMBERED:
+                row.clear()
+                new = grams.tolist()
+            n, mask = len(row), (1 << BITS) - 1
+            if n + len(new) > len(self.made):
+                more = max(len(self.made), n + len(new) - len(self.made))
+                self.made = np.concatenate([self.made, np.zeros((more, self.dimensions), np.int8)])
+            g = np.array(new, np.int64)
+            self.made[n : n + len(new)] = self._place(g >> 2 * BITS, 2) * self._place(g >> BITS & mask, 1) * self._place(g & mask, 0)
+            row.update(zip(new, range(n, n + len(new)), strict=True))
+        return self.made[[row[g] for g in grams.tolist()]]
+
+    def bundle(self, grams: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The sum of the vectors of different trigrams, each n times."""
+        total = np.zeros(self.dimensions)
+        for k in range(0, len(grams), AT_ONCE):
+            part = slice(k, k + AT_ONCE)
+            # float32 is exact as long as no sum outgrows its 24 bits
+            kind = np.float32 if n[part].sum() < 1 << 24 else np.float64
+            total += n[part].astype(kind) @ self.of(grams[part]).astype(kind)
+        return total
+
+
+def counted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct trigrams and how often each comes."""
+    s = np.sort(grams)
     first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, int)
     return s[first], np.diff(np.append(first, len(s)))
 
 
 def bundle(vectors: Vectors, text: str) -> np.ndarray | None:
-    slots, n = counted(trigrams(text))
-    return n.astype(np.float32) @ vectors.of(slots) if len(slots) else None
+    grams, n = counted(trigrams(text))
+    return vectors.bundle(grams, n) if len(grams) else None
 
 
-def fit(rows: DataFrame, text: str = "text", lang: str = "lang", dimensions: int = DIMENSIONS, seed: int = SEED) -> dict[str, np.ndarray]:
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    grams, which = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    return grams, np.bincount(which, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+
+def fit(rows: DataFrame, text: str = "text", lang: str = "lang", dimensions: int = DIMENSIONS, seed: int = SEED, languages: int = LANGUAGES) -> dict[str, np.ndarray]:
     """Language -> prototype, from every row with a text and a language. Tasks send one vector a language, never texts."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, held = Vectors(dimensions, seed), {}
+        vectors, held, size = Vectors(dimensions, seed), {}, 0
 
         def out():
-            for name, count in sorted(held.items()):
-                slots = np.flatnonzero(count)
-                total = np.zeros(dimensions, np.int64)
-                for k in range(0, len(slots), 4096):
-                    part = slots[k : k + 4096]
-                    total += count[part] @ vectors.of(part).astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"lang": [name] * dimensions, "at": np.arange(dimensions, dtype=np.int32), "n": total})
+            for name, parts in sorted(held.items()):
+                total = vectors.bundle(*_merged(parts))
+                yield pa.RecordBatch.from_pydict({"lang": [name] * dimensions, "at": np.arange(dimensions, dtype=np.int32), "n": total.astype(np.int64)})
             held.clear()
 
         for batch in batches:
-            for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                slots, n = counted(trigrams(t))
-                if name not in held:
-                    held[name] = np.zeros(SLOTS, np.int64)
-                held[name][slots] += n
-                if len(held) > 64:
-                    yield from out()
+            for name, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                parts = held.setdefault(name, [])
+                parts.append(counted(trigrams(t.as_py())))
+                size += len(parts[-1][0])
+                if size > COUNTED:  # most are alike
+                    held.update((k, [_merged(v)]) for k, v in list(held.items()))
+                    size = sum(len(v[0][0]) for v in held.values())
+                    if size > COUNTED // 2:
+                        yield from out()
+                        size = 0
         yield from out()
 
     use = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
+    if use.select("lang").distinct().limit(languages + 1).count() > languages:
+        raise ValueError(f"{lang} holds more than {languages} different values: no languages")
     parts = use.mapInArrow(sums, "lang string, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n"))
     found: dict[str, np.ndarray] = {}
     for r in parts.toLocalIterator():  # dimensions rows a language
@@ -135,9 +171,9 @@ def classify(batches: Iterator[pa.RecordBatch], at: int, names: list[str], proto
         langs, scores, told = [], np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
         for k, t in enumerate(batch.column(at)):
             langs.append(UNKNOWN)
-            slots, n = counted(trigrams(x)) if names and (x := t.as_py()) else ((), ())
-            told[k] = len(slots)
-            v = n.astype(np.float32) @ vectors.of(slots) if len(slots) else None
+            grams, n = counted(trigrams(x)) if names and (x := t.as_py()) else ((), ())
+            told[k] = len(grams)
+            v = vectors.bundle(grams, n) if len(grams) else None
             if v is not None and (length := float(np.sqrt(v @ v))) > 0:
                 cosines = prototypes @ v / length
                 best = int(np.argmax(cosines))
