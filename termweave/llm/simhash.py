@@ -1,11 +1,13 @@
 """SimHash near-duplicates, found by BK-trees.
 
-Fingerprints, one for each different value, are dealt into shards so that any two within the radius meet in one: the
-64 bits are cut into blocks, and with `b` blocks and radius `r` two such fingerprints agree in b - r blocks at least;
-each choice of b - r blocks with its bits is a shard. In a shard a BK-tree is built - children keyed by the integer
-Hamming distance to their parent - and every member searches it, following only edges whose key is within the radius
-of its distance to the node. A shard of many members is built in several tasks, each searching for a part of them, so
-its tree is what is sent around; all trees at once are never, and no fingerprint comes to the driver.
+Fingerprints, one for each different value, are dealt into shards of some SHARD members so that any two within the radius
+meet in one: the 64 bits are cut into blocks, and with `b` blocks and radius `r` two such fingerprints agree in b - r
+blocks at least; each choice of b - r blocks, with as many of its bits as make shards of that size, is a way to deal
+them. In a shard a BK-tree is built - children keyed by the integer Hamming distance to their parent - and every member
+searches it, following only edges whose key is within the radius of its distance to the node. A shard's members ask in
+blocks of SEARCHED: a larger shard's tree is stored and broadcast to the tasks that search it for a block each. All
+trees at once are never sent, and no fingerprint comes to the driver. A shard that is too large for a task (FOREST), as
+its members are much alike, is dealt again by its finest blocks, which leave 24 bits to differ in.
 
 A task joins what it finds with union-find and passes on one edge a member, not the pairs; the components of all
 edges give the groups.
@@ -33,10 +35,12 @@ from .components import components
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
-#: Members of a shard that one task searches for; a larger shard's tree goes to several tasks.
-SEARCHED = 8192
+#: Members that a shard should have, and those that one task searches for; a larger shard's tree goes to several tasks.
+SHARD, SEARCHED = 8192, 2048
 #: Rows taken into one forest at once, and (query, node) pairs at once while searching.
-FOREST, PAIRS = 1 << 17, 1 << 22
+FOREST, PAIRS = 1 << 17, 1 << 20
+#: Blocks that the bits are cut into at most: the finest agreeing parts have 40 bits at radius 3.
+FINEST = 8
 
 
 def shingle_hashes(text: str | None, shingle: int) -> list[int]:
@@ -110,8 +114,10 @@ def forest(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return first, order, key[order], roots
 
 
-def search(trees: tuple, fp: np.ndarray, queries: np.ndarray, root: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of (query, node) within the radius. A step moves all searches one edge down."""
+def search(trees: tuple, fp: np.ndarray, queries: np.ndarray, root: np.ndarray, radius: int, asked: np.ndarray | None = None, looked: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of (query, node) within the radius; queries: places in `asked` (or fp). A step moves all searches one edge
+    down. looked: gets the number of nodes that each step compares."""
+    asked = fp if asked is None else asked
     first, child, key, _ = trees
     stack = [(queries, root)]
     while stack:
@@ -120,7 +126,9 @@ def search(trees: tuple, fp: np.ndarray, queries: np.ndarray, root: np.ndarray,
             half = len(q) // 2
             stack += [(q[half:], node[half:]), (q[:half], node[:half])]
             continue
-        distance = np.bitwise_count(fp[q] ^ fp[node]).astype(np.int64)
+        distance = np.bitwise_count(asked[q] ^ fp[node]).astype(np.int64)
+        if looked is not None:
+            looked.append(len(q))
         near = distance <= radius
         if near.any():
             yield q[near], node[near]
@@ -150,67 +158,141 @@ def union(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray
             label = label[label]
 
 
-def ties(key: np.ndarray, fp: np.ndarray, asks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def ties(key: np.ndarray, fp: np.ndarray, radius: int, looked: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Rows of whole shards, each a run of one key -> fingerprints (a, b) that tie together all that are within the radius."""
     group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
     bits = fp.view(np.uint64)
     trees = forest(group, bits)
-    queries = np.flatnonzero(asks)
     label = np.arange(len(fp))
-    for a, b in search(trees, bits, queries, trees[3][group[queries]], radius):
+    for a, b in search(trees, bits, label.copy(), trees[3][group], radius, looked=looked):
         label = union(len(fp), a, b, label)
     moved = np.flatnonzero(label != np.arange(len(fp)))
     return fp[moved], fp[label[moved]]
 
 
-def blocks(n: int, radius: int) -> list[int]:
-    """Masks of 64 bits, one for each choice of agreeing blocks. The more fingerprints, the longer the agreeing part,
-    so that unrelated ones seldom meet; any two within the radius agree under one mask, whatever the number."""
-    count = next((b for b in range(radius + 1, radius + 5) if n <= 1 << 6 + 64 * (b - radius) // b), radius + 5)
+def asked_ties(trees: tuple, fp: np.ndarray, asked: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """One shard's tree and some of its members -> fingerprints (a, b) that tie those to all that are within the radius."""
+    at = np.argsort(fp, kind="stable")
+    own = at[np.searchsorted(fp, asked, sorter=at)]
+    label = np.arange(len(fp))
+    roots = np.full(len(asked), trees[3][0])
+    for q, node in search(trees, fp.view(np.uint64), np.arange(len(asked)), roots, radius, asked.view(np.uint64)):
+        label = union(len(fp), own[q], node, label)
+    moved = np.flatnonzero(label != np.arange(len(fp)))
+    return fp[moved], fp[label[moved]]
+
+
+def blocks(n: int, radius: int, shard: int = SHARD) -> list[int]:
+    """Masks of 64 bits, one for each choice of agreeing blocks, cut to the bits that make shards of some `shard` of n
+    fingerprints; any two within the radius agree under one mask, whatever the number."""
+    bits = max(0, (max(1, n) - 1) // shard).bit_length()
+    count = next((b for b in range(radius + 1, FINEST) if bits <= 64 * (b - radius) // b), FINEST)
     edges = [64 * k // count for k in range(count + 1)]
-    cut = [((1 << edges[k + 1]) - 1) ^ ((1 << edges[k]) - 1) for k in range(count)]
-    return [sum(c) for c in itertools.combinations(cut, count - radius)]
+    found = set()
+    for kept in itertools.combinations(range(count), count - radius):
+        # bits of each kept block in turn
+        places = sorted((place - edges[k], place) for k in kept for place in range(edges[k], edges[k + 1]))
+        found.add(sum(1 << place for _, place in places[:bits]))
+    return sorted(found)
 
 
-def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+def _keyed(rows: DataFrame, masks: list[int], *more: str) -> DataFrame:
+    """rows: fp -> fp, key: a row for each mask."""
+    under = F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("bits")) for i, m in enumerate(masks)])
+    return rows.select("fp", *more, F.explode(under).alias("k")).select("fp", F.xxhash64(*more, "k.i", "k.bits").alias("key"))
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD, forest_: int = FOREST) -> DataFrame:
     """nodes: fp, distinct -> edges (u, v) of fingerprints whose components are those of all pairs within the radius."""
-    masks = [signed(m) for m in blocks(nodes.count(), radius)]
-    keyed = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)])).alias("k")).select("fp", F.xxhash64("k.i", "k.bits").alias("key"))
+    n = nodes.count()
+    keyed = _keyed(nodes, blocks(n, radius, shard))
+    large = _shared.stable(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > forest_).select("key"))
+    if many := large.count():  # n * masks / forest_ of them at most
+        large = F.broadcast(large) if many <= 1 << 16 else large
+        fine = _keyed(keyed.join(large, "key", "left_semi").withColumnRenamed("key", "within"), blocks(1 << 63, radius), "within")
+        keyed = keyed.join(large, "key", "left_anti").unionByName(fine)
     return shard_links(keyed, radius)
 
 
-def shard_links(keyed: DataFrame, radius: int) -> DataFrame:
+TREE_COLUMNS = "key long, part int, fp long, nodes binary, first binary, child binary, edge binary, u long, v long"
+
+
+def shard_links(keyed: DataFrame, radius: int, searched: int = SEARCHED) -> DataFrame:
     """keyed: fp, key (its shards), distinct -> edges (u, v) whose components are those of all pairs within the radius that share a shard."""
-    # the shards of one member have no pairs; those of many are searched in parts
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    many = F.ceil(F.col("n") / SEARCHED).cast("int")
-    dealt = keyed.join(sizes, "key").withColumn("part", F.explode(F.sequence(F.lit(0), many - 1)))
-    dealt = dealt.select("key", "part", "fp", (F.pmod(F.xxhash64("fp"), many) == F.col("part")).alias("asks"))
+    names = [c.split()[0] for c in TREE_COLUMNS.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(n: int, **columns) -> pa.RecordBatch:
+        kinds = {"part": pa.int32(), **dict.fromkeys(("nodes", "first", "child", "edge"), pa.binary())}
+        return pa.RecordBatch.from_arrays([pa.array(columns.get(c, [None] * n), kinds.get(c, pa.int64())) for c in names], names)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shards, each a run of one key -> the ties of small ones; the trees of others, once for each block of queries, and the queries."""
         held: list[tuple[np.ndarray, ...]] = []
         n = 0
 
-        def out(final: bool):
+        def out(final: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, n
-            key, part, fp, asks = (np.concatenate(x) for x in zip(*held, strict=True))
-            new = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
-            end = len(key) if final else int(new[-1]) if len(new) else 0  # the last shard may go on
-            held, n = [(key[end:], part[end:], fp[end:], asks[end:])], len(key) - end
-            if end:
-                a, b = ties(key[:end] ^ (part[:end].astype(np.int64) << 40), fp[:end], asks[:end], radius)
+            key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            new = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+            end = len(key) if final else int(new[-1])  # the last shard may go on
+            held, n = [(key[end:], fp[end:])], len(key) - end
+            sizes = np.diff(np.append(new[new < end], end))
+            size = np.repeat(sizes, sizes)
+            small = (size > 1) & (size <= searched)
+            if small.any():
+                a, b = ties(key[:end][small], fp[:end][small], radius)
                 if len(a):
-                    yield pa.RecordBatch.from_pydict({"u": a, "v": b})
+                    yield rows(len(a), u=a, v=b)
+            for at, m in zip(new[new < end][sizes > searched].tolist(), sizes[sizes > searched].tolist(), strict=True):
+                members, parts = fp[at : at + m], -(-m // searched)
+                first, child, edge, _ = forest(np.zeros(m, np.int64), members.view(np.uint64))
+                tree = [members.tobytes(), first.astype(np.int32).tobytes(), child.astype(np.int32).tobytes(), edge.astype(np.int8).tobytes()]
+                for part in range(parts):
+                    yield rows(1, key=[key[at]], part=[part], **dict(zip(("nodes", "first", "child", "edge"), ([x] for x in tree), strict=True)))
+                yield rows(m, key=np.full(m, key[at]), part=(np.arange(m) % parts).astype(np.int32), fp=members)
 
         for batch in batches:
-            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)))
+            held.append((batch["key"].to_numpy(), batch["fp"].to_numpy()))
             n += batch.num_rows
             if n >= FOREST:
                 yield from out(False)
         if n:
             yield from out(True)
 
-    return dealt.repartition("key", "part").sortWithinPartitions("key", "part", "fp").mapInArrow(run, "u long, v long")
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A tree, then the queries that ask it, and so on; found ties are passed on."""
+        trees, members, held = None, None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if held:
+                a, b = asked_ties(trees, members, np.concatenate(held), radius)
+                held.clear()
+                if len(a):
+                    yield pa.RecordBatch.from_pydict({"u": a, "v": b})
+
+        for batch in batches:
+            found = batch["u"].is_valid()
+            if found.true_count:
+                yield batch.filter(found).select(["u", "v"])
+                batch = batch.filter(pa.array(~found.to_numpy(zero_copy_only=False)))
+            tree = batch["nodes"].is_valid().to_numpy(zero_copy_only=False)
+            ends = [*np.flatnonzero(tree).tolist(), batch.num_rows]
+            if ends[0]:
+                held.append(batch["fp"].slice(0, ends[0]).to_numpy(zero_copy_only=False))
+            for at, end in zip(ends[:-1], ends[1:], strict=True):
+                yield from out()
+                members = np.frombuffer(batch["nodes"][at].as_py(), np.int64)
+                first, child, edge = (np.frombuffer(batch[c][at].as_py(), t).astype(np.int64) for c, t in (("first", np.int32), ("child", np.int32), ("edge", np.int8)))
+                trees = first, child, edge, np.zeros(1, np.int64)
+                if end > at + 1:
+                    held.append(batch["fp"].slice(at + 1, end - at - 1).to_numpy(zero_copy_only=False).astype(np.int64))
+        yield from out()
+
+    stored = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(build, TREE_COLUMNS)
+    stored = _shared.spilled(stored, "trees")
+    small = stored.where("u is not null").select("u", "v")
+    sent = stored.where("u is null").repartition("key", "part").sortWithinPartitions("key", "part", F.col("nodes").isNull())
+    return small.unionByName(sent.mapInArrow(look, "u long, v long"))
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -238,9 +320,9 @@ def firsts(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     # of a group's rows with that id the one of the least text hash; equal texts are told apart below
     stays = rows.groupBy("root", "doc_id").agg(F.min("text_hash").alias("h"), F.count(F.lit(1)).alias("n"))
     stays = _shared.stable(stays.select(F.col("doc_id").alias("__id"), F.col("h").alias("__hash"), F.col("n").alias("__n")))
-    hashed = docs.withColumn("__text", F.xxhash64("text"))
-    kept = hashed.join(stays, hashed["doc_id"].eqNullSafe(stays["__id"]) & (hashed["__text"] == stays["__hash"]))
-    if stays.where("__n > 1").isEmpty():
-        return kept.select(*[hashed[c] for c in docs.columns])
-    first = kept.where("__n > 1").dropDuplicates(["doc_id", "__text"])
-    return kept.where("__n = 1").unionByName(first).select(*docs.columns)
+    hashed = docs.select(_shared.whole(docs).alias("row"), F.xxhash64("text").alias("text_hash"))
+    kept = hashed.join(stays, hashed["row"]["doc_id"].eqNullSafe(stays["__id"]) & (hashed["text_hash"] == stays["__hash"]))
+    if not stays.where("__n > 1").isEmpty():
+        first = kept.where("__n > 1").withColumn("id", F.col("row")["doc_id"]).dropDuplicates(["id", "text_hash"]).drop("id")
+        kept = kept.where("__n = 1").unionByName(first)
+    return kept.select("row.*")
