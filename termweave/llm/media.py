@@ -7,7 +7,8 @@ go into a RIFF AVI: header lists, a `movi` list with a chunk a frame, and the `i
 need not fill the last frame, is in an INFO list.
 
 Reading: frames are found through `idx1` alone, each is decoded from its own tables (intra frames: none needs another),
-and the exact count of samples is kept.
+and the exact count of samples is kept. Frames of the baseline process (SOF0), which other writers store, are decoded as
+well: grey ones, or the luma of those in colour, with the standard's Huffman tables where a frame has none.
 
 Shots: a frame starts a new one if the histogram of its samples differs from that of the frame before by more than
 the mean of the differences around it plus SPREAD standard deviations, and by FLOOR at least. Clips are the runs
@@ -20,20 +21,22 @@ an id are rows of their own; an empty table gives an empty result. Only the name
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 
 SIDE, RATE = 32, 25
 FRAME = SIDE * SIDE
 BINS, AROUND, SPREAD, FLOOR = 16, 8, 1.0, 0.25
-#: Frames coded at once.
-BATCH = 2048
+#: Frames coded at once, and bytes of texts written at once (one text at least).
+BATCH, AT_ONCE = 2048, 1 << 22
 BLOCK = 64
 
 
@@ -111,8 +114,121 @@ def _segments(jpeg: bytes) -> Iterator[tuple[int, int, int]]:
             return
 
 
+#: The order of a block's coefficients, and the Huffman tables of frames that bring none (counts of the
+#: lengths 1 to 16, values; direct and alternating coefficients of the first and the second class).
+ZIGZAG = sorted(range(64), key=lambda k: (k // 8 + k % 8, k // 8 if (k // 8 + k % 8) % 2 else k % 8))
+_RANGES = lambda *ends: [v for a, b in ends for v in range(a, b + 1)]
+STANDARD = {
+    0x00: ([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], list(range(12))),
+    0x01: ([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0], list(range(12))),
+    0x10: (
+        [0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125],
+        [*bytes.fromhex("01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a"), *_RANGES((0x16, 0x1A), (0x25, 0x2A), (0x34, 0x3A), *((k + 3, k + 10) for k in range(0x40, 0x90, 16)))]
+        + _RANGES(*((k + 2, k + 10) for k in range(0x90, 0xE0, 16)), (0xE1, 0xEA), (0xF1, 0xFA)),
+    ),
+    0x11: (
+        [0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119],
+        [*bytes.fromhex("000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f1"), *_RANGES((0x17, 0x1A), (0x26, 0x2A), (0x35, 0x3A), *((k + 3, k + 10) for k in range(0x40, 0x80, 16)))]
+        + _RANGES(*((k + 2, k + 10) for k in range(0x80, 0x100, 16))),
+    ),
+}
+_WAVES = np.array([[np.sqrt((1 if u == 0 else 2) / 8) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+
+
+def _codes(counts, values) -> list[tuple[int, int]]:
+    """The next 16 bits -> length and value of the code that they begin with."""
+    table, code, at = [(0, 0)] * (1 << 16), 0, 0
+    for length in range(1, 17):
+        for _ in range(counts[length - 1]):
+            first = code << 16 - length
+            table[first : first + (1 << 16 - length)] = [(length, values[at])] * (1 << 16 - length)
+            code, at = code + 1, at + 1
+        code <<= 1
+    return table
+
+
+def decode_baseline(jpeg: bytes) -> np.ndarray:
+    """One frame of the baseline process: its samples, or its luma."""
+    steps, huffman = {}, {}
+    every = height = width = 0
+    parts, scan, scanned = [], 0, []
+    for marker, a, b in _segments(jpeg):
+        if marker == 0xDB:
+            while a < b:
+                wide = jpeg[a] >> 4
+                size = 128 if wide else 64
+                steps[jpeg[a] & 15] = np.frombuffer(jpeg[a + 1 : a + 1 + size], ">u2" if wide else np.uint8).astype(np.int64)
+                a += 1 + size
+        elif marker == 0xC4:
+            while a < b:
+                counts = list(jpeg[a + 1 : a + 17])
+                huffman[jpeg[a]] = _codes(counts, list(jpeg[a + 17 : a + 17 + sum(counts)]))
+                a += 17 + sum(counts)
+        elif marker in (0xC0, 0xC1):
+            precision, height, width, n = struct.unpack(">BHHB", jpeg[a : a + 6])
+            if precision != 8:
+                raise ValueError("only samples of 8 bits are read")
+            parts = [(jpeg[k], jpeg[k + 1] >> 4, jpeg[k + 1] & 15, jpeg[k + 2]) for k in range(a + 6, a + 6 + 3 * n, 3)]
+        elif marker == 0xDD:
+            every = int.from_bytes(jpeg[a : a + 2], "big")
+        elif marker == 0xDA:
+            scanned, scan = [(jpeg[k], jpeg[k + 1] >> 4, jpeg[k + 1] & 15) for k in range(a + 1, a + 1 + 2 * jpeg[a], 2)], b
+        elif 0xC0 <= marker <= 0xCF and marker != 0xCC:
+            raise ValueError("not a baseline frame")
+    if not parts or len(scanned) != len(parts):
+        raise ValueError("a frame is one scan of all its components here")
+    tables = {k: huffman.get(k) or _codes(*STANDARD[k]) for _, d, c in scanned for k in (d, 16 + c)}
+    if len(parts) == 1:
+        parts = [(parts[0][0], 1, 1, parts[0][3])]
+    wide, high = max(p[1] for p in parts), max(p[2] for p in parts)
+    across, down = -(-width // (8 * wide)), -(-height // (8 * high))
+    luma = np.zeros((down * parts[0][2] * 8, across * parts[0][1] * 8))
+    order = np.array(ZIGZAG)
+    before, unit, words, bit, ends = [0] * len(parts), 0, [], 0, 0
+    pieces = iter(re.split(rb"\xff[\xd0-\xd7]", jpeg[scan : jpeg.rindex(b"\xff\xd9")]))
+    for row in range(down):
+        for column in range(across):
+            if unit % every == 0 if every else not unit:
+                data = np.frombuffer(next(pieces).replace(b"\xff\x00", b"\xff") + b"\xff" * 8, np.uint8).astype(np.int64)
+                words, bit, before = (data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:]).tolist(), 0, [0] * len(parts)
+                ends = 8 * (len(data) - 7)
+            unit += 1
+            for k, ((_, h, v, quantizer), (_, direct, alternating)) in enumerate(zip(parts, scanned, strict=True)):
+                for block in range(h * v):
+                    values, at = [0] * 64, 0
+                    while at < 64:
+                        if bit > ends:
+                            raise ValueError("a frame ends within its scan")
+                        length, symbol = tables[16 + alternating if at else direct][words[bit >> 3] >> 16 - (bit & 7) & 0xFFFF]
+                        if not length:
+                            raise ValueError("no code of the frame's table")
+                        bit += length
+                        size = symbol & 15
+                        if at:
+                            if not size:
+                                if symbol != 0xF0:
+                                    break
+                                at += 16
+                                continue
+                            at += symbol >> 4
+                        extra = (words[bit >> 3] >> 32 - (bit & 7) - size & (1 << size) - 1) if size else 0
+                        bit += size
+                        values[min(at, 63)] = extra if not size or extra >> size - 1 else extra - (1 << size) + 1
+                        at += 1
+                    values[0] += before[k]
+                    before[k] = values[0]
+                    if not k:
+                        grid = np.zeros(64)
+                        grid[order] = np.array(values) * steps[quantizer]
+                        y, x = (row * v + block // h) * 8, (column * h + block % h) * 8
+                        luma[y : y + 8, x : x + 8] = _WAVES.T @ grid.reshape(8, 8) @ _WAVES
+    return np.clip(np.rint(luma[:height, :width] + 128), 0, 255).astype(np.uint8)
+
+
 def _decode_any(jpeg: bytes) -> np.ndarray:
-    """One lossless grey frame with any Huffman table, bit by bit. predictor 1 only."""
+    """One frame: a baseline one, or a lossless grey one with any Huffman table, bit by bit, predictor 1 only."""
+    if any(marker in (0xC0, 0xC1) for marker, _, _ in _segments(jpeg)):
+        return decode_baseline(jpeg)
     lookup: dict[tuple[int, int], int] = {}
     width = height = start = 0
     for marker, a, b in _segments(jpeg):
@@ -190,6 +306,8 @@ def write_avi(jpegs: list[bytes], samples: int) -> bytes:
     for chunk, jpeg in zip(chunks, jpegs, strict=True):
         index.append(struct.pack("<4sIII", b"00dc", 0x10, at, len(jpeg)))
         at += len(chunk)
+    if at > 0xF0000000:
+        raise ValueError("a RIFF AVI holds less than 4 GiB")
     parts = [
         _list(b"hdrl", _chunk(b"avih", head), _list(b"strl", _chunk(b"strh", stream), _chunk(b"strf", picture))),
         _list(b"INFO", _chunk(b"ICMT", b"samples=%d\x00" % samples)),
@@ -225,12 +343,14 @@ def read_avi(data: bytes) -> tuple[list[bytes], int | None, float]:
     walk(12, min(len(data), 8 + int.from_bytes(data[4:8], "little")))
     if movi is None or index is None:
         raise ValueError("an AVI without movi list or idx1 index")
-    frames = []
+    frames, base = [], None
     for name, _, at, size in struct.iter_unpack("<4sIII", index):
         if name[2:] in (b"dc", b"db"):
-            if data[movi + at : movi + at + 4] != name:
+            if base is None:  # some writers count from the file's begin
+                base = movi if data[movi + at : movi + at + 4] == name else 0
+            if data[base + at : base + at + 4] != name:
                 raise ValueError("idx1 points past a frame")
-            frames.append(data[movi + at + 8 : movi + at + 8 + size])
+            frames.append(data[base + at + 8 : base + at + 8 + size])
     return frames, samples, rate
 
 
@@ -289,14 +409,27 @@ def features(data: bytes) -> tuple[bytes, str]:
 # ---- columns ----------------------------------------------------------------------------------------------------
 
 
+def taken(sizes: list[int], most: int = AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to `most` at most, each of one row at least."""
+    start, total = 0, 0
+    for k, size in enumerate(sizes):
+        total += size + FRAME
+        if k > start and total > most:
+            yield start, k
+            start, total = k, size + FRAME
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def stored(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media (binary, an AVI file) for every whole text of docs."""
     kind = docs.schema["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
+            sizes = [n or 0 for n in pc.binary_length(batch.column(1)).to_pylist()]
+            for k, end in taken(sizes):
+                part = batch.slice(k, end - k)
                 payloads = [padded(t) for t in part.column(1).to_pylist()]
                 # the frames of many texts at once
                 counts = [-(-len(p) // FRAME) for p in payloads]

@@ -63,8 +63,13 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.clip_rows(media.stored(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_media": op1_media,
+    "media_clips": media_clips,
     "op2_quality": op2_quality,
     "op3_mixing": op3_mixing,
     "op4_warc": op4_warc,
@@ -79,7 +84,7 @@ QUERIES = {
 MIXING_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS key
+         md5(coalesce(doc_id::VARCHAR, '') || ' ' || md5(coalesce(text, ''))) AS key
   FROM documents
 ), sizes AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
