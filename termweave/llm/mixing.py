@@ -1,12 +1,13 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
-Every document gets a hash-random key, the md5 of its id. Within a source the key's leading hex digits cut the order
+Every document gets a hash-random key, the md5 of its id and its text's md5. Within a source the key's leading hex digits cut the order
 into ranges: sums by (source, range) are partially aggregated, their prefix sums give each range its offset, and only
 inside one small range are single documents ordered. So no source, however large, is sorted in one task.
 
 Defined results: null or blank texts have size 0 and are taken 0 times; a null source is a source of its own, after
-all others; rows that repeat a doc_id are ordered by size and are interchangeable if that is equal; an empty table
-gives an empty result; columns besides doc_id, text and source are not looked at, whatever their names.
+all others; rows that repeat a doc_id or have none are told apart by their texts, and interchangeable if those are
+equal; an empty table gives an empty result; columns besides doc_id, text and source are not looked at, whatever their
+names. A source is a category: the windows over one row a source are one task's, and so need not more than millions.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ def mix(docs: DataFrame, digits: int = 3, weights=WEIGHTS, share: float = SHARE,
     A source's mix is its first `target` words in key order, over and over: whole epochs, then the documents before
     the cut, the last of them in part.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key"))
     sized = _shared.spilled(sized.withColumn("range", F.substring("key", 1, digits)), "mix")
     ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
@@ -80,13 +81,23 @@ def mixed_documents(docs: DataFrame, digits: int = 3) -> DataFrame:
 
     docs: one row a doc_id; repeated ids keep one row each time they are drawn.
     """
-    drawn = mix(docs, digits).where("taken > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.sum("taken").alias("__taken"), F.count(F.lit(1)).alias("__rows"))
+    drawn = mix(docs, digits).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows"))
+    drawn = drawn.select(F.col("doc_id").alias("drawn_id"), F.col("source").alias("drawn_source"), F.col("size").alias("drawn_size"), "taken", "rows")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    hit = docs.join(drawn, docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source")) & (size == F.col("__size")))
-    hit = hit.withColumn("__share", F.floor(F.col("__taken") / F.col("__rows")))
-    hit = hit.withColumn("__words", F.explode(F.concat(F.array_repeat(F.col("__size"), (F.floor(F.col("__share") / F.col("__size"))).cast("int")), F.array_repeat(F.col("__share") % F.col("__size"), 1)))).where("__words > 0")
-    parts = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    text = F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(F.array_join(F.slice(parts, F.lit(1), F.col("__words").cast("int")), ""))
-    out = hit.withColumn("__text", text)
-    columns = [F.col("__text").alias("text") if c == "text" else F.when(F.col("__words") == F.col("__size"), docs[c]).otherwise(F.length("__text")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
-    return out.select(*columns)
+    base = docs.select(_shared.whole(docs).alias("row"), "doc_id", "source", size.alias("size"))
+    hit = base.join(drawn, F.col("doc_id").eqNullSafe(F.col("drawn_id")) & F.col("source").eqNullSafe(F.col("drawn_source")) & (F.col("size") == F.col("drawn_size")))
+    share = F.floor(F.col("taken") / F.col("rows"))
+    times = F.concat(F.array_repeat(F.col("size"), F.floor(share / F.col("size")).cast("int")), F.array_repeat(share % F.col("size"), 1))
+    hit = hit.select("row", "size", F.explode(times).alias("words")).where("words > 0")
+    parts = F.split(F.col("row")["text"], r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    is_whole = F.col("words") == F.col("size")
+    text = F.when(is_whole, F.col("row")["text"]).otherwise(F.array_join(F.slice(parts, F.lit(1), F.col("words").cast("int")), ""))
+    out = hit.select("row", is_whole.alias("whole"), text.alias("text"))
+
+    def column(name: str):
+        field = F.col("row")[name]
+        if name == "n_chars":
+            field = F.when(F.col("whole"), field).otherwise(F.length("text")).cast(docs.schema[name].dataType)
+        return (F.col("text") if name == "text" else field).alias(name)
+
+    return out.select(*[column(c) for c in docs.columns])
