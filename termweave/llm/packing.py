@@ -26,9 +26,11 @@ from pyspark.sql import DataFrame, functions as F
 
 CAPACITY = 2048
 END_ID = 1
-#: Pieces that wait before windows are filled from them, and words whose ids a worker remembers.
+#: Pieces that wait before windows are filled from them, and bytes of words and ids that a worker remembers.
 WAITING = 4096
-REMEMBERED = 400_000
+REMEMBERED = 1 << 26
+#: About what a remembered word takes besides its letters and ids.
+WORD_BYTES = 160
 _words: dict[str, Words] = {}
 
 
@@ -160,6 +162,7 @@ class Words:
         self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.room = REMEMBERED
 
     @staticmethod
     def at(path: str) -> Words:
@@ -173,6 +176,7 @@ class Words:
         if found is None:
             spelt = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
             found = self.parts[part] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelt)])
+            self.room -= WORD_BYTES + 2 * len(part) + len(found)
         return found
 
     def _word(self, word: str) -> bytes:
@@ -185,13 +189,19 @@ class Words:
         known = self.known
         new = {w for w in words if w not in known}
         if new:
-            if len(known) + len(new) > REMEMBERED:
+            if self.room <= 0:
                 known.clear()
                 self.parts.clear()
-                new = set(words)
+                self.room, new = REMEMBERED, set(words)
             for w in new:
-                known[w] = self._word(w)
-        return np.frombuffer(b"".join([known[w] for w in words]) + last.to_bytes(4, "little"), "<u4")
+                known[w] = found = self._word(w)
+                self.room -= WORD_BYTES + 2 * len(w) + len(found)
+        ids = np.frombuffer(b"".join([known[w] for w in words]) + last.to_bytes(4, "little"), "<u4")
+        if self.room < -REMEMBERED:  # a text of very many words of its own
+            known.clear()
+            self.parts.clear()
+            self.room = REMEMBERED
+        return ids
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
