@@ -6,7 +6,8 @@ on the first singular vectors of the labelled sample: latent-semantic vectors. T
 PER_CLASS of RANK numbers whatever the corpus, go to every task; for each document the cosines with all of them come
 from one exact matrix product a block, and the NEIGHBOURS nearest vote with the POWER-th power of their cosine.
 
-Only the labelled sample is bounded: PER_CLASS rows a label, those with the least hash of their id.
+Only the labelled sample is bounded: PER_CLASS labels of either kind, those with the least hash of their id, and as many
+different texts of these.
 
 Defined results: null and empty texts have the zero vector; their score, and any score without a neighbour of positive
 cosine, is the sample's share of label 1 (equal shares: 0.5). Without any labelled row every score is 0.5. A label that
@@ -97,7 +98,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     # ordered by hash within either label: top-n of both, kept small in every task
     sample = [known.where(F.col("label") == v).orderBy(key, "id").limit(per_class) for v in (0, 1)]
     picked = _shared.stable(sample[0].unionByName(sample[1]))
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("id", "label", "text")  # at most 2 * per_class rows
+    # a labelled id may come in many rows: those alike are one, and again the first per_class of a label are taken
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("id", "label", "text", F.xxhash64("text").alias("hash"))
+    texts = texts.dropDuplicates(["id", "label", "hash"])
+    sample = [texts.where(F.col("label") == v).orderBy(key, "id", "hash").limit(per_class) for v in (0, 1)]
+    texts = _shared.stable(sample[0].unionByName(sample[1])).repartition(16).select("id", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
