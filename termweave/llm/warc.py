@@ -33,6 +33,8 @@ from . import _shared
 
 REVISIT_BYTES = 100
 GAP, RUN, FILE_BLOCK = 1 << 16, 8 << 20, 64 << 20
+#: Bytes of archives that a reading task has at most, and, where there are tasks to spare, at least.
+READ_MOST, READ_LEAST = 1 << 28, 1 << 22
 #: The table of revisits is sent to all tasks up to so many rows (of under 100 bytes); a larger one is shuffled.
 SENT_ROWS = 100_000
 DATE = "2024-01-01T00:00:00Z"
@@ -99,8 +101,19 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
     return head, block[block.index(b"\r\n\r\n") + 4 :]
 
 
+#: The schemes that Hadoop alone has for a store that pyarrow opens by another name.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    """The file system of a folder, and the folder in it. Stores that pyarrow doesn't know are refused."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return fs.LocalFileSystem(), path
+    try:
+        return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as e:
+        raise ValueError(f"archives can't be written to {path}: pyarrow has no file system for {scheme}") from e
 
 
 def write(rows: DataFrame, folder: str) -> DataFrame:
@@ -129,6 +142,7 @@ def write(rows: DataFrame, folder: str) -> DataFrame:
             if sink is not None:
                 sink.close()
 
+    _open(folder)  # refused here, before anything is written
     index = rows.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, INDEX.format(id=kind))
     index.write.parquet(f"{folder}/index")
     return rows.sparkSession.read.schema(index.schema).parquet(f"{folder}/index")
@@ -170,7 +184,10 @@ def read(selected: DataFrame, folder: str) -> DataFrame:
                 yield out()
 
     blocks = selected.select("file", "offset", "length", "page_id", F.floor(F.col("offset") / FILE_BLOCK).alias("block"))
-    blocks = blocks.repartition("file", "block").sortWithinPartitions("file", "offset").drop("block")
+    # the index says little about the bytes to read: as many tasks as these need
+    total = selected.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(1, total // READ_MOST, min(total // READ_LEAST, selected.sparkSession.sparkContext.defaultParallelism))
+    blocks = blocks.repartition(tasks, "file", "block").sortWithinPartitions("file", "offset").drop("block")
     schema = f"page_id {kind}, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to string"
     return blocks.mapInArrow(run, schema)
 
