@@ -32,11 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one is set only where that is unset (tests)."""
+    """The folder the cluster names in spark.checkpoint.dir. Where that is unset, a temporary one on one machine; on a cluster an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    named = named or sc.getCheckpointDir()
     if not named:
-        named = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="termweave-")
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: intermediate results need a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="termweave-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named
