@@ -60,7 +60,7 @@ def camel(normalized: Column) -> Column:
 def lower_camel(normalized: Column) -> Column:
     """wine region -> wineRegion."""
     words = tokens(normalized)
-    rest = F.array_join(F.transform(F.slice(words, 2, 1000), F.initcap), "")
+    rest = F.array_join(F.transform(F.slice(words, F.lit(2), F.size(words)), F.initcap), "")
     return F.coalesce(F.concat(F.try_element_at(words, F.lit(1)), rest), F.lit(""))
 
 

@@ -110,7 +110,7 @@ class Graph:
         return data.unionByName(props).distinct()
 
     def lines(self) -> DataFrame:
-        """The graph as N-Triples lines: labels, types and facts."""
+        """The graph as N-Triples lines: labels, types, facts, infobox values, and links to the same thing elsewhere."""
         uri = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
         line = lambda *parts: F.concat(F.concat_ws(" ", *parts), F.lit(" ."))
         quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"'))
@@ -119,7 +119,9 @@ class Graph:
         typed = self.types().select("seq", line(uri(F.col("resource")), F.lit("<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"), uri(F.col("class"))).alias("value"))
         literal = relations["literal"].select("seq", line(uri(F.col("resource")), uri(F.col("property")), F.concat(quoted(F.col("value")), F.lit("^^<http://www.w3.org/2001/XMLSchema#string>"))).alias("value"))
         objects = relations["object"].select("seq", line(uri(F.col("resource")), uri(F.col("property")), uri(F.col("object"))).alias("value"))
-        return _union([named, typed, literal, objects])
+        boxes = relations["infobox"].select("seq", line(uri(F.col("resource")), uri(F.col("property")), quoted(F.col("value"))).alias("value"))
+        same = self.labels().select("seq", line(uri(F.col("resource")), F.lit("<http://www.w3.org/2002/07/owl#sameAs>"), uri(F.concat(F.lit("http://example.org/same/"), F.md5("resource")))).alias("value"))
+        return _union([named, typed, literal, objects, boxes, same])
 
     def pairs(self) -> DataFrame:
         """id, a, b: neighbouring names and whole benchmark texts, to compare."""

@@ -532,8 +532,10 @@ CTE["lines"] = (
     f"SELECT seq, {_line(_angle('resource'), q('<http://www.w3.org/2000/01/rdf-schema#label>'), _quote('label') + ' || ' + q('@en'))} AS value FROM kg_labels"
     f" UNION ALL SELECT seq, {_line(_angle('resource'), q('<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>'), _angle('class'))} FROM kg_types"
     f" UNION ALL SELECT seq, {_line(_angle('resource'), _angle('property'), _quote('v') + ' || ' + q('^^<http://www.w3.org/2001/XMLSchema#string>'))} FROM literal_facts"
-    f" UNION ALL SELECT seq, {_line(_angle('resource'), _angle('property'), _angle('v'))} FROM object_facts",
-    "kg_labels kg_types literal_facts object_facts",
+    f" UNION ALL SELECT seq, {_line(_angle('resource'), _angle('property'), _angle('v'))} FROM object_facts"
+    f" UNION ALL SELECT seq, {_line(_angle('resource'), _angle('property'), _quote('v'))} FROM infobox_facts"
+    f" UNION ALL SELECT seq, {_line(_angle('resource'), q('<http://www.w3.org/2002/07/owl#sameAs>'), _angle(q('http://example.org/same/') + ' || md5(resource)'))} FROM kg_labels",
+    "kg_labels kg_types literal_facts object_facts infobox_facts",
 )
 _CLEAN = r"regexp_replace(replace(replace(replace(replace(regexp_extract({0}, '\"((?:[^\"\\]|\\.)*)\"', 1), '\\\"', '\"'), '\n', ' '), '\t', ' '), '\r', ' '), '^\s+|\s+$', '', 'g')".replace('\\"', '"')
 CTE["parsed"] = (f"SELECT seq, regexp_extract_all(value, '<([^>]*)>', 1) AS u, {_CLEAN.format('value')} AS lit FROM lines", "lines")

@@ -1,6 +1,6 @@
 """N-Triples lines to relations.
 
-Lines keep the order of their files: `seq` numbers them by file, split and line, without a shuffle. The patterns never
+Lines keep their file's order: `seq` numbers them as they are scanned, split by split, without a shuffle. The patterns never
 backtrack (possessive), so a literal of any length is safe on the JVM's stack.
 """
 
@@ -20,7 +20,7 @@ LITERAL = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """value, seq: text files, compressed or not, without blank lines and comments."""
-    rows = spark.read.text(path).select("value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line")).alias("seq"))
+    rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("seq"))
     return rows.withColumn("value", strip(F.col("value"))).where((F.col("value") != "") & ~F.startswith("value", F.lit("#")))
 
 
