@@ -28,6 +28,8 @@ SEED = 20240229
 LANGUAGES = 1024
 #: Trigram vectors, and letter vectors, that a worker remembers; trigrams bundled at once; trigram counts that a task holds.
 REMEMBERED, AT_ONCE, COUNTED = 1 << 14, 1 << 12, 1 << 19
+#: Vectors added up at once, so that they stay near the processor.
+CACHED = 96
 #: Bits of a code point in a trigram's number.
 BITS = 21
 UNKNOWN = "und"
@@ -78,8 +80,8 @@ class Vectors:
         values, which = np.unique(points, return_inverse=True)
         return np.roll(np.array([self.letter(p) for p in values.tolist()], np.int8), shift, 1)[which]
 
-    def of(self, grams: np.ndarray) -> np.ndarray:
-        """The vectors of AT_ONCE different trigrams at most, a row each."""
+    def places(self, grams: np.ndarray) -> np.ndarray:
+        """Where the vectors of AT_ONCE different trigrams at most are, made if they are new."""
         row = self.row
         new = [g for g in grams.tolist() if g not in row]
         if new:
@@ -93,16 +95,21 @@ class Vectors:
             g = np.array(new, np.int64)
             self.made[n : n + len(new)] = self._place(g >> 2 * BITS, 2) * self._place(g >> BITS & mask, 1) * self._place(g & mask, 0)
             row.update(zip(new, range(n, n + len(new)), strict=True))
-        return self.made[[row[g] for g in grams.tolist()]]
+        return np.array([row[g] for g in grams.tolist()], np.int64)
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        """The vectors of AT_ONCE different trigrams at most, a row each."""
+        return self.made[self.places(grams)]
 
     def bundle(self, grams: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The sum of the vectors of different trigrams, each n times."""
         total = np.zeros(self.dimensions)
         for k in range(0, len(grams), AT_ONCE):
-            part = slice(k, k + AT_ONCE)
+            places, times = self.places(grams[k : k + AT_ONCE]), n[k : k + AT_ONCE]
             # float32 is exact as long as no sum outgrows its 24 bits
-            kind = np.float32 if n[part].sum() < 1 << 24 else np.float64
-            total += n[part].astype(kind) @ self.of(grams[part]).astype(kind)
+            kind = np.float32 if times.sum() < 1 << 24 else np.float64
+            for a in range(0, len(places), CACHED):
+                total += times[a : a + CACHED].astype(kind) @ self.made[places[a : a + CACHED]].astype(kind)
         return total
 
 
