@@ -47,7 +47,9 @@ BLOCK = 64
 #: Edges ordered at once: whole groups are taken until there are so many. A larger group goes on to the next digit.
 GROUP = 1 << 13
 #: Different surroundings of one block, and edges of one third digit, from which a task deals them by the next digit.
-HOT, HOT_EDGES = 64, 512
+HOT, HOT_EDGES = 64, 64
+#: Of a task's edges one in so many must share a third digit, too: whole windows are many rows.
+SPARSE = 40
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -240,7 +242,7 @@ DEALT = 2000
 
 def _packed(columns: dict[str, np.ndarray], kind: int) -> pa.RecordBatch:
     n = len(columns["k1"])
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.array([kind] * n if f.name == "kind" else [None] * n, f.type) for f in EDGE_SCHEMA], schema=EDGE_SCHEMA)
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.array([kind] * n if f.name == "kind" else [None] * n if f.name in ("around", "edge") else [0] * n, f.type) for f in EDGE_SCHEMA], schema=EDGE_SCHEMA)
 
 
 def spans_of(k1: np.ndarray, k2: np.ndarray, at: np.ndarray, windows: np.ndarray, length: int) -> pa.RecordBatch | None:
@@ -294,7 +296,7 @@ def _edges(length: int, block: int, hot: int):
             t = pa.RecordBatch.from_pydict(dict(zip(EDGE_SCHEMA.names, map(list, zip(*found, strict=True)), strict=True)), EDGE_SCHEMA)
             found.clear()
             keys, which, counts = np.unique(t["key"].to_numpy(), return_inverse=True, return_counts=True)
-            many = counts >= hot
+            many = counts >= max(hot, t.num_rows // SPARSE)
             if many.any():
                 told = keys[many]
                 yield _packed({"key": told, "k1": told * 0, "at": told * 0 - 1}, TOLD)
@@ -351,8 +353,10 @@ def repeated_windows(group: np.ndarray, around: list[bytes], left: np.ndarray, l
         f, o, g = first[order], other[order], group[rows][order]
         equal = (f[1:] == f[:-1]) & (o[1:] == o[:-1]) & (g[1:] == g[:-1])
         like = np.flatnonzero(equal)
-        window = table[:, reach - d : reach - d + length]
-        equal[like] = (window[rows[order[like]]] == window[rows[order[like + 1]]]).all(axis=1)
+        one, two = (table[rows[order[at]], reach - d : reach - d + length] for at in (like, like + 1))
+        if length % 8 == 0:
+            one, two = one.view(np.uint64), two.view(np.uint64)
+        equal[like] = (one == two).all(axis=1)
         out[rows[order], d] = np.concatenate([[False], equal]) | np.concatenate([equal, [False]])
     return out
 
@@ -405,7 +409,7 @@ def _ordered(length: int, block: int, most: int):
 
 
 def _repeats(length: int):
-    """Windows in order of their bytes' hash -> those that come again, as spans."""
+    """Windows in order of their bytes' hash -> those that come again, as spans; spans are passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = Neighbours(2)
@@ -417,7 +421,11 @@ def _repeats(length: int):
                 yield pa.RecordBatch.from_arrays([pa.array(k1[go]), pa.array(k2[go]), pa.array((at[go] << 32) + at[go] + length)], ["k1", "k2", "span"])
 
         for batch in batches:
-            yield from out([batch.column(i).to_numpy() for i in range(6)])
+            rows = [batch[name].to_numpy() for name in ("key", "other", "k1", "k2", "at", "left", "kind")]
+            on = rows.pop() == SPAN
+            if on.any():
+                yield pa.RecordBatch.from_arrays([pa.array(rows[k][on].astype(np.int64)) for k in (2, 3, 4)], ["k1", "k2", "span"])
+            yield from out([r[~on].astype(np.int64) for r in rows])
         yield from out([np.zeros(0, np.int64)] * 6, True)
 
     return run
@@ -453,10 +461,9 @@ def _joined(docs: DataFrame, length: int, block: int, hot: int, hot_edges: int,
     edges = shown.mapInArrow(_edges(length, block, hot_edges), EDGE_COLUMNS)
     far = F.when(F.col("kind") < WINDOW, F.col("key")).otherwise(F.xxhash64("k1", "at", "other"))
     edges = edges.repartition(far).sortWithinPartitions(F.col("kind") < WINDOW, "key", "at")
-    found = _shared.spilled(edges.mapInArrow(_ordered(length, block, group), EDGE_COLUMNS).drop("around", "edge"), "edges")
-    windows = found.where(F.col("kind") == WINDOW).select("key", "other", "k1", "k2", "at", "left")
-    windows = windows.repartition("key", "other").sortWithinPartitions("key", "other").mapInArrow(_repeats(length), "k1 long, k2 long, span long")
-    spans = found.where(F.col("kind") == SPAN).select("k1", "k2", F.col("at").alias("span")).unionByName(windows)
+    found = edges.mapInArrow(_ordered(length, block, group), EDGE_COLUMNS).drop("around", "edge")
+    far = F.when(F.col("kind") == WINDOW, F.xxhash64("key", "other")).otherwise(F.xxhash64("k1", "k2"))
+    spans = found.repartition(far).sortWithinPartitions("key", "other").mapInArrow(_repeats(length), "k1 long, k2 long, span long")
     facts = marks.join(spans.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans")), ["k1", "k2"], "left")
     return texts.join(facts, ["k1", "k2"], "left").select("row", "marks", "spans")
 
