@@ -77,3 +77,42 @@ def test_large_groups_meet_once():
     base = np.unique(rng.integers(0, 1 << 40, 200).astype(np.uint64))
     sets = [np.unique(np.append(base, np.uint64(x))) for x in range(1500)]
     assert not nearcopies.tied(sets).any()
+
+
+def test_ties_go_on_from_what_is_known():
+    rng = np.random.default_rng(11)
+    for _ in range(50):
+        sets = [np.unique(rng.choice(40, rng.integers(1, 20), replace=False)).astype(np.uint64) for _ in range(20)]
+        plain = nearcopies.tied(sets)
+        before = np.where(rng.random(20) < 0.5, plain, np.arange(20))
+        before = np.where(plain[before] == before, before, np.arange(20))
+        assert nearcopies.tied(sets, label=before).tolist() == plain.tolist()
+
+
+def test_groups_too_large_for_a_task(spark, monkeypatch):
+    """Chains, whose ends are unlike, and groups of a text's copies, verified two texts at a time and a few at a time."""
+    _shared.ship(spark)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = [t for _, t, _ in planted(24)]
+    w = [word() for _ in range(80)]
+    for k in range(0, 60, 1):
+        w[k] = word()
+        texts.append(" ".join(w))
+    base = [word() for _ in range(80)]
+    for k in range(30):
+        c = base.copy()
+        for at in rng.sample(range(80), 1 + k % 4):
+            c[at] = word()
+        texts.append(" ".join(c))
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    rows += [rows[7], (None, texts[-1], "en")]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    label = plain_labels([words_of(t) for _, t, _ in rows])
+    want = {i: min(rows[j][0] for j in range(len(rows)) if label[j] == label[i] and rows[j][0] is not None) for i in range(len(rows))}
+    want = sorted((rows[i][0] if rows[i][0] is not None else -1, want[i]) for i in want)
+    # more hubs than parts, none that helps much, and no part of one text only
+    for hubs, size in ((16, 2), (1, 2), (1, 7)):
+        monkeypatch.setattr(nearcopies, "HUBS", hubs)
+        got = nearcopies.groups(docs, texts=size, held=1 << 20).collect()
+        assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["component_id"]) for r in got) == want
