@@ -12,16 +12,18 @@ to the next pass:
 3. Of the others in a group of several - the edges of repeated passages - the third digit is the bytes before or the
    bytes after the block, one of which lies whole in every window; with these equal, the windows themselves are
    ordered, byte offset by byte offset, and compared byte by byte.
-4. A group of more than GROUP edges is not ordered in one task: its windows are the last digit, dealt one by one.
+4. A group of more than GROUP edges is not ordered in one task. The fourth digit is what WIDE windows side by side have
+   in common: most that hold bytes beside a repeated passage end here, WIDE by WIDE. Groups are ordered as before.
+5. Of groups still larger the windows are the last digit, dealt one by one: WIDE rows an edge at each end of a passage.
 
 What comes twice in one task is settled there, and one row stands for it elsewhere, so no group has more rows than
 there are tasks for the same bytes. A block that has HOT different surroundings in a task is dealt by both digits, and
-a third digit that HOT_EDGES edges of a task share by whole windows, so that a line that every document has spreads over
-all tasks; one witness goes where the others go, so that they count as repeated, or deal their windows as well. At worst
+a third or fourth digit that HOT_EDGES edges of a task share by the next one, so that a line that every document has
+spreads over all tasks; one witness goes where the others go, so that they count as repeated, or go on as well. At worst
 a block is then an edge that might have been whole, which the next digits settle. All groups are streams: a task holds
 GROUP edges at most, whatever their number.
 
-Equality in passes 1 and 2 is that of 128 bits - a rolling hash of the block and XXH3 of all bytes - and in pass 4 of the
+Equality in passes 1 and 2 is that of 128 bits - a rolling hash of the block and XXH3 of all bytes - and in pass 5 of the
 window's 128-bit XXH3. The text moves twice to the same partitions, once for the edges and once to be cut, by one and
 the same exchange.
 
@@ -46,10 +48,12 @@ LENGTH = 200
 BLOCK = 64
 #: Edges ordered at once: whole groups are taken until there are so many. A larger group goes on to the next digit.
 GROUP = 1 << 13
-#: Different surroundings of one block, and edges of one third digit, from which a task deals them by the next digit.
+#: Different surroundings of one block, and edges of one third or fourth digit, from which a task deals them by the next digit.
 HOT, HOT_EDGES = 64, 64
-#: Of a task's edges one in so many must share a third digit, too: whole windows are many rows.
+#: Of a task's edges one in so many must share that digit, too: the next one is several rows an edge.
 SPARSE = 40
+#: Windows side by side that have a fourth digit.
+WIDE = 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -230,8 +234,9 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out(none, True)
 
 
-# Rows on their way: an edge or a block that shows; word that a third digit's windows are dealt one by one; a window; bytes to remove.
-BYTES, TOLD, WINDOW, SPAN = 0, 1, 2, 3
+# Rows on their way: an edge or a block that shows; word that a third digit is dealt by the fourth; a window; bytes to remove;
+# WIDE windows of an edge; word that a fourth digit's windows are dealt one by one.
+BYTES, TOLD, WINDOW, SPAN, FINER, TOLD_FINER = 0, 1, 2, 3, 4, 5
 EDGE_SCHEMA = pa.schema(
     [("key", pa.int64()), ("other", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int64()), ("left", pa.int32()), ("around", pa.binary()), ("edge", pa.bool_()), ("kind", pa.int32())]
 )
@@ -281,6 +286,47 @@ def dealt(k1: np.ndarray, k2: np.ndarray, at: np.ndarray, left: np.ndarray, arou
         yield _packed({"key": w[first, 0], "other": w[first, 1], "k1": k1[part][row[first]], "k2": k2[part][row[first]], "at": at[part][row[first]] - far[first], "left": several[first].astype(np.int32)}, WINDOW)
 
 
+def finer(k1: np.ndarray, k2: np.ndarray, at: np.ndarray, left: np.ndarray, around: list[bytes], edge: np.ndarray, length: int, reach: int, hot: int) -> Iterator[pa.RecordBatch]:
+    """Edges and blocks shown, each cut into the bytes of WIDE windows side by side. Those that are equal among them are
+    spans, and one row stands for them; where many differ, their windows are dealt."""
+    digest = xxhash.xxh3_64_intdigest
+    for a in range(0, len(around), DEALT):
+        part = slice(a, a + DEALT)
+        row, key, low, high, held = [], [], [], [], []
+        for k, (x, n) in enumerate(zip(around[part], left[part].tolist(), strict=True)):
+            least, most = max(0, n + length - len(x)), min(reach, n)
+            for first in range(least - least % WIDE, most + 1, WIDE):
+                last = min(first + WIDE - 1, reach)
+                row.append(k)
+                low.append(max(first, least))
+                high.append(min(last, most))
+                key.append(digest(x[n - first : n - last + length], first + 3) - (1 << 63))  # seeds 1 and 2 are the third digit's
+                held.append(x[n - high[-1] : n - low[-1] + length])
+        if not row:
+            continue
+        row, key, low, high = np.array(row), np.array(key, np.int64), np.array(low), np.array(high)
+        seen: dict[tuple[int, bytes], int] = {}
+        group = np.array([seen.setdefault(x, len(seen)) for x in zip(high.tolist(), held, strict=True)])
+        several = np.bincount(group)[group] > 1
+        windows = np.zeros((len(around[part]), reach + 1), bool)
+        for d in range(WIDE):
+            on = several & edge[part][row] & (low + d <= high)
+            windows[row[on], low[on] + d] = True
+        if (spans := spans_of(k1[part], k2[part], at[part], windows, length)) is not None:
+            yield spans
+        stands = np.unique(group, return_index=True)[1]
+        keys, which, counts = np.unique(key[stands], return_inverse=True, return_counts=True)
+        many = counts >= max(hot, len(stands) // SPARSE)
+        on = stands[many[which]]
+        if len(on):
+            told = keys[many]
+            yield _packed({"key": told, "k1": told * 0, "at": told * 0 - 1}, TOLD_FINER)
+            yield from dealt(k1[part][row[on]], k2[part][row[on]], at[part][row[on]], high[on], [held[k] for k in on.tolist()], length, reach)
+        on = stands[~many[which]]
+        if len(on):
+            yield _packed({"key": key[on], "k1": k1[part][row[on]], "k2": k2[part][row[on]], "at": at[part][row[on]], "left": high[on], "around": [held[k] for k in on.tolist()], "edge": edge[part][row[on]] & ~several[on]}, FINER)
+
+
 def _edges(length: int, block: int, hot: int):
     """Texts with marks -> the bytes around each edge, and around the blocks shown to edges: once for the windows that
     hold the `half` bytes before the block, once for those that hold as many after it."""
@@ -300,7 +346,8 @@ def _edges(length: int, block: int, hot: int):
             if many.any():
                 told = keys[many]
                 yield _packed({"key": told, "k1": told * 0, "at": told * 0 - 1}, TOLD)
-                yield from dealt(*_arrays(t.filter(pa.array(many[which]))), length, reach)
+                dense = t.filter(pa.array(many[which]))
+                yield from finer(*_arrays(dense), dense["edge"].to_numpy(zero_copy_only=False), length, reach, hot)
                 t = t.filter(pa.array(~many[which]))
             yield t
 
@@ -361,11 +408,16 @@ def repeated_windows(group: np.ndarray, around: list[bytes], left: np.ndarray, l
     return out
 
 
-def _ordered(length: int, block: int, most: int):
-    """Edges and shown blocks in order of their third digit -> the bytes under repeated windows at edges, and the windows
-    of groups that are dealt one by one. Windows and spans among the rows are passed on."""
+def _ordered(length: int, block: int, most: int, hot: int | None = None):
+    """Edges and shown blocks in order of their third or fourth digit -> the bytes under repeated windows at edges, and of
+    larger groups the windows one by one or, if `hot` is given, rows by the fourth digit. Other rows are passed on."""
     reach = length - block
 
+    def further(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        if hot is None:
+            return dealt(*_arrays(t), length, reach)
+        return finer(*_arrays(t), t["edge"].to_numpy(), length, reach, hot)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         n, goes_on = 0, None  # rows held; the group that the last rows were dealt of
@@ -373,9 +425,10 @@ def _ordered(length: int, block: int, most: int):
         def out(final: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, n, goes_on
             t = pa.Table.from_batches(held).combine_chunks()
-            key, told = t["key"].to_numpy(), t["kind"].to_numpy() == TOLD
+            key, told = t["key"].to_numpy(), np.isin(t["kind"].to_numpy(), (TOLD, TOLD_FINER))
             _, group = runs(key)
-            deal = (np.bincount(group, told) > 0) | (np.bincount(group) > most)
+            size = np.bincount(group)
+            deal = (np.bincount(group, told) > 0) | (size > most)
             if key[0] == goes_on:
                 deal[0] = True
             last = int(np.searchsorted(key, key[-1]))
@@ -384,7 +437,8 @@ def _ordered(length: int, block: int, most: int):
             held, n = t.slice(end).to_batches(), len(key) - end
             each = deal[group[:end]]
             if each.any():
-                yield from dealt(*_arrays(t.slice(0, end).filter(pa.array(each & ~told[:end]))), length, reach)
+                yield from further(t.slice(0, end).filter(pa.array(each & ~told[:end])))
+            each |= size[group[:end]] < 2
             t, group = t.slice(0, end).filter(pa.array(~each)), group[:end][~each]
             if len(t):
                 k1, k2, at, left, around = _arrays(t)
@@ -393,7 +447,8 @@ def _ordered(length: int, block: int, most: int):
                     yield spans
 
         for batch in batches:
-            on = batch["kind"].to_numpy() >= WINDOW
+            kind = batch["kind"].to_numpy()
+            on = kind >= WINDOW if hot is not None else (kind == WINDOW) | (kind == SPAN)
             if on.any():
                 yield batch.filter(pa.array(on))
                 batch = batch.filter(pa.array(~on))
@@ -461,6 +516,9 @@ def _joined(docs: DataFrame, length: int, block: int, hot: int, hot_edges: int,
     edges = shown.mapInArrow(_edges(length, block, hot_edges), EDGE_COLUMNS)
     far = F.when(F.col("kind") < WINDOW, F.col("key")).otherwise(F.xxhash64("k1", "at", "other"))
     edges = edges.repartition(far).sortWithinPartitions(F.col("kind") < WINDOW, "key", "at")
+    edges = edges.mapInArrow(_ordered(length, block, group, hot_edges), EDGE_COLUMNS)
+    far = F.when(F.col("kind") >= FINER, F.col("key")).otherwise(F.xxhash64("k1", "at", "other"))
+    edges = edges.repartition(far).sortWithinPartitions(F.col("kind") >= FINER, "key", "at")
     found = edges.mapInArrow(_ordered(length, block, group), EDGE_COLUMNS).drop("around", "edge")
     far = F.when(F.col("kind") == WINDOW, F.xxhash64("key", "other")).otherwise(F.xxhash64("k1", "k2"))
     spans = found.repartition(far).sortWithinPartitions("key", "other").mapInArrow(_repeats(length), "k1 long, k2 long, span long")

@@ -288,6 +288,38 @@ def test_every_digit_alone(spark, hot, hot_edges, group):
     assert got == collections.Counter((rows[k][0], *cut) for k, cut in enumerate(slow_cut(texts)))
 
 
+def most_rows_made(df):
+    """Of the Python operators of a plan that has run, the most rows that one has made."""
+    found = []
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        if name == "MapInArrow":
+            found.append(node.metrics().apply("pythonNumRowsReceived").value())
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return max(found)
+
+
+@pytest.mark.parametrize("copies", [100, 2000])
+def test_rows_of_large_groups(spark, copies):
+    """A passage in so many texts that its edges are no longer ordered in one task does not make a row for each window."""
+    rng = random.Random(14)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    passage = word(350)
+    rows = [(i, word(250) + passage + word(250)) for i in range(copies)]
+    df = suffixes.remaining(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), hot_edges=1 << 30, group=256)
+    got = {r["doc_id"]: (bytes(r["kept"]), r["n_removed"], r["n_spans"]) for r in df.collect()}
+    assert list(got[i] for i, _ in rows) == list(slow_cut([t.encode() for _, t in rows]))
+    assert most_rows_made(df) < 50 * copies
+
+
 def test_windows_streamed():
     """Groups that begin in one batch and end in another, with and without word of windows dealt elsewhere."""
     import pyarrow as pa
