@@ -48,12 +48,12 @@ LENGTH = 200
 BLOCK = 64
 #: Edges ordered at once: whole groups are taken until there are so many. A larger group goes on to the next digit.
 GROUP = 1 << 13
-#: Different surroundings of one block, and edges of one third or fourth digit, from which a task deals them by the next digit.
-HOT, HOT_EDGES = 64, 64
-#: Of a task's edges one in so many must share that digit, too: the next one is several rows an edge.
-SPARSE = 40
-#: Windows side by side that have a fourth digit.
-WIDE = 8
+#: Different surroundings of one block, and edges of one third digit, from which a task deals them by the next digit.
+HOT, HOT_EDGES = 64, 16
+#: Of a task's edges one in so many must share a third digit, too: the next one is several rows an edge.
+SPARSE = 200
+#: Windows side by side that have a fourth digit, and how many times as many must share one, as windows are more rows still.
+WIDE, FEWER = 8, 4
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -316,7 +316,7 @@ def finer(k1: np.ndarray, k2: np.ndarray, at: np.ndarray, left: np.ndarray, arou
             yield spans
         stands = np.unique(group, return_index=True)[1]
         keys, which, counts = np.unique(key[stands], return_inverse=True, return_counts=True)
-        many = counts >= max(hot, len(stands) // SPARSE)
+        many = counts >= FEWER * max(hot, len(stands) // SPARSE)
         on = stands[many[which]]
         if len(on):
             told = keys[many]

@@ -320,6 +320,26 @@ def test_rows_of_large_groups(spark, copies):
     assert most_rows_made(df) < 50 * copies
 
 
+def test_common_digits_of_small_tasks():
+    """A third digit that a task has 40 times among 1,200 edges, as all other tasks may, isn't left to one task."""
+    import pyarrow as pa
+
+    rng = random.Random(15)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    passage = word(220)
+    texts = [word(300) + (passage if i < 40 else word(220)) + word(300) for i in range(600)]
+    batch = pa.RecordBatch.from_pydict({
+        "k1": pa.array(range(600)),
+        "k2": pa.array(range(600)),
+        "row": pa.array([{"text": t} for t in texts]),
+        "marks": pa.array([[(380 << 2) + suffixes.EDGE]] * 600, pa.list_(pa.int64())),
+    })
+    edges = pa.Table.from_batches(list(suffixes._edges(200, 64, suffixes.HOT_EDGES)(iter([batch])))).to_pylist()
+    assert sum(r["kind"] == suffixes.BYTES for r in edges) >= 1100
+    told = {r["key"] for r in edges if r["kind"] == suffixes.TOLD}
+    assert len(told) == 2 and not any(r["key"] in told for r in edges if r["kind"] == suffixes.BYTES)
+
+
 def test_windows_streamed():
     """Groups that begin in one batch and end in another, with and without word of windows dealt elsewhere."""
     import pyarrow as pa
